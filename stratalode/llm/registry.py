@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.query,
     "op10_decontaminate": decontaminate.query,
 }
 
