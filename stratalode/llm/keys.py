@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +28,24 @@ def stored(spark: SparkSession, frame: DataFrame, at: str | None = None) -> Data
     return spark.read.schema(frame.schema).parquet(at)
 
 
-def keyed(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(j, id, text): j is a unique long in the order of (id, text), nulls last; text null becomes empty.
+def with_key(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str, key: str = "j") -> DataFrame:
+    """``documents`` with a unique long ``key`` in the order of (id, text), nulls last.
 
-    Where ids are unique and not null, j is the id. Otherwise rows are numbered in order, so equal rows
-    are told apart and a repeated row counts as a later one.
+    Where ids are unique and not null, the key is the id. Otherwise rows are numbered in order and stored, so
+    equal rows are told apart and a repeated row counts as a later one.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    odd = rows.select("id").groupBy("id").count().filter("count > 1 or id is null")
+    number = F.col(id_col).cast("long")
+    odd = documents.select(number.alias("id")).groupBy("id").count().filter("count > 1 or id is null")
     if odd.isEmpty():
-        return rows.select(F.col("id").alias("j"), "id", "text")
-    numbered = rows.repartitionByRange(F.asc_nulls_last("id"), F.col("text")).sortWithinPartitions(F.asc_nulls_last("id"), F.col("text"))
-    return stored(spark, numbered.select(F.monotonically_increasing_id().alias("j"), "id", "text"))
+        return documents.withColumn(key, number)
+    order = [F.asc_nulls_last(id_col), F.asc_nulls_last(text_col)]
+    return stored(spark, documents.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+
+
+def keyed(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(j, id, text): the key of :func:`with_key`, and text with null as empty."""
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return with_key(spark, rows, "id", "text").select("j", "id", "text")
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -45,3 +53,12 @@ def copies(rows: DataFrame) -> DataFrame:
     light = rows.select("j", F.xxhash64("text").alias("d"), F.xxhash64(F.lit(7), "text").alias("e"))
     groups = light.groupBy("d", "e").agg(F.min("j").alias("lead"), F.count("*").alias("copies")).filter("copies > 1")
     return light.join(groups, ["d", "e"]).select("j", "lead", "copies")
+
+
+def without_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of (j, text, ...) with only the smallest j of each text, so that a hot text is met once a batch."""
+    code = batch.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.lexsort((batch.column(0).to_numpy(), code))
+    first = np.ones(len(code), bool)
+    first[1:] = code[order[1:]] != code[order[:-1]]
+    return batch if first.all() else batch.take(pa.array(np.sort(order[first])))

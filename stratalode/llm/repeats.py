@@ -124,7 +124,10 @@ def sorted_by_gram(rows: DataFrame) -> DataFrame:
 
 
 def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """``rows`` with the array of ``w`` that ``marks`` has for their j (null if none). A document's marks are bounded by its length."""
+    """``rows`` with the array of ``w`` that ``marks`` has for their j (null if none). A document's marks are bounded by its length.
+
+    Always an outer join of all columns, so that several of them read one exchange of the texts.
+    """
     return rows.join(marks.groupBy("j").agg(F.collect_list("w").alias("marks")).hint("shuffle_hash"), "j", "left")
 
 
@@ -136,3 +139,9 @@ def lists(column: pa.ListArray, at: int, n: int) -> tuple[np.ndarray, np.ndarray
     else:
         lengths = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     return part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def with_marks(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+    """The rows of a batch whose column at ``place`` is not null."""
+    column = batch.column(place)
+    return batch.filter(column.is_valid()) if column.null_count else batch

@@ -39,26 +39,25 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
     """
     half = max(1, window // 2)
     rows = keys.keyed(spark, documents, id_col, text_col)
-    copies = keys.copies(rows).filter("j != lead").select("j", F.lit(True).alias("copy")).hint("shuffle_hash")
-    rows = rows.join(copies, "j", "left")
 
     def level_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(keys.without_copies, batches):
             j = batch.column(0).to_numpy()
             for at, texts in tv.slices(batch.column(1)):
                 values, first = _hashes(texts)
                 a, u, document, w = repeats.anchors(values, tv.windows(values, half), first, window, half)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(j[at + document]), pa.array(w)], names=["a", "u", "j", "w"])
 
-    leads = rows.filter("copy is null")
-    judged = repeats.verdicts(repeats.sorted_by_gram(leads.select("j", "text").mapInArrow(level_one, repeats.ANCHOR_SCHEMA)), symmetric=False)
+    halves = rows.select("j", "text").mapInArrow(level_one, repeats.ANCHOR_SCHEMA)
+    judged = keys.stored(spark, repeats.verdicts(repeats.sorted_by_gram(halves), symmetric=False))
 
     def level_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = repeats.with_marks(batch, 3)
             j = batch.column(0).to_numpy()
-            for at, texts in tv.slices(batch.column(1)):
+            for at, texts in tv.slices(batch.column(2)):
                 values, first = _hashes(texts)
-                marks, offsets = repeats.lists(batch.column(2), at, len(texts))
+                marks, offsets = repeats.lists(batch.column(3), at, len(texts))
                 document = np.repeat(np.arange(len(texts)), np.diff(offsets))
                 _, low, high = repeats.unpack(marks)
                 starts = tv.ranges(low, high - low + 1)
@@ -68,8 +67,8 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
                     [pa.array(tv.windows(values, window, s)[place].view(np.int64)) for s in (0, 1)] + [pa.array(j[at + document]), pa.array(repeats.pack(starts, starts, starts))], names=["a", "u", "j", "w"]
                 )
 
-    unclear = repeats.marked(leads, judged.filter(F.col("kind") == repeats.MIXED)).filter("marks is not null")
-    singles = unclear.select("j", "text", "marks").mapInArrow(level_two, repeats.ANCHOR_SCHEMA)
+    unclear = repeats.marked(rows, judged.filter(F.col("kind") == repeats.MIXED))
+    singles = unclear.select("j", "id", "text", "marks").mapInArrow(level_two, repeats.ANCHOR_SCHEMA)
     later = repeats.verdicts(repeats.sorted_by_gram(singles), symmetric=False)
     gone = judged.unionByName(later).filter(F.col("kind") == repeats.WHOLE)
 
@@ -93,7 +92,8 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
                     kept.append(b" ".join(compress(tokens, (~out[first[i] : first[i + 1]]).tolist()) if r else tokens).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n_words), pa.array(removed), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    return repeats.marked(rows, gone).select("id", "text", "copy", "marks").mapInArrow(cut, RESULT)
+    copies = keys.copies(rows).filter("j != lead").select("j", F.lit(True).alias("copy")).hint("shuffle_hash")
+    return repeats.marked(rows, gone).join(copies, "j", "left").select("id", "text", "copy", "marks").mapInArrow(cut, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
