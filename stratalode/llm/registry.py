@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, jaccard_join, sharding, substring_dedup, suffix_dedup, token_store, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_sharding": sharding.query,
+    "op5_token_store": token_store.query,
+    "op7_suffix_dedup": suffix_dedup.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op10_decontaminate": decontaminate.query,
 }
 
