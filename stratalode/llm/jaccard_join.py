@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import keys, repeats
@@ -137,9 +137,54 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link. Texts travel once to the pairs of x and once to those of y."""
-    texts = rows.select("j", "id", "text")
+def _needed(n_x: Column, n_y: Column, l_x: Column, l_y: Column, percent: int) -> Column:
+    """Prefix shingles that a linked pair of these sizes shares at least.
+
+    Their overlap is at least percent (n_x + n_y) / (100 + percent). Shared shingles up to the earlier of the two
+    prefix ends are in both prefixes, so at most what follows one prefix is shared outside them.
+    """
+    overlap = F.ceil(F.lit(percent) * (n_x + n_y) / F.lit(100.0 + percent) - 1e-9)
+    after = lambda n, l: F.greatest(F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - l, F.lit(0))
+    return F.greatest(F.least(l_x, l_y), overlap - F.greatest(after(n_x, l_x), after(n_y, l_y)))
+
+
+#: Bits of the filter that keeps texts no pair asks for from being moved; it only ever passes too many.
+FILTER_BITS = 1 << 23
+
+
+def _filter_bits(j: np.ndarray) -> np.ndarray:
+    return (tv.mix(j.astype(np.uint64)) >> np.uint64(64 - 23)).astype(np.int64)
+
+
+def _asked(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(j, text) of ``rows`` that some pair may ask for, by a bitmap of fixed size over the ids of all pairs."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            if batch.num_columns == 1:
+                for raw in batch.column(0).to_pylist():
+                    out |= np.frombuffer(raw, np.uint8)
+            else:
+                at = _filter_bits(np.concatenate([c.to_numpy() for c in batch.columns]))
+                np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    parts = pairs.select("x", "y").mapInArrow(bits, "bits binary")
+    # One megabyte a part; parts are joined in a few tasks before the driver joins those.
+    raw = [np.frombuffer(r["bits"], np.uint8) for r in parts.coalesce(8).mapInArrow(bits, "bits binary").collect()]
+    wanted = spark.sparkContext.broadcast(np.unpackbits(np.bitwise_or.reduce(raw), bitorder="little").astype(bool) if raw else np.zeros(FILTER_BITS, bool))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value[_filter_bits(batch.column(0).to_numpy())]))
+
+    return rows.select("j", "text").mapInArrow(keep, "j long, text string")
+
+
+def _verify(spark: SparkSession, pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets link. Texts that are asked for travel once to the pairs of x and once to those of y."""
+    texts = _asked(spark, pairs, rows)
     with_x = pairs.join(texts.select(F.col("j").alias("x"), F.col("text").alias("text_x")), "x")
     both = with_x.join(texts.select(F.col("j").alias("y"), F.col("text").alias("text_y")), "y")
 
@@ -149,8 +194,8 @@ def _verify(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
                 part = batch.slice(lo, 512)
                 sets = []
                 for place in (2, 3):
-                    pieces = [(at, *shingle_sets(texts, n)) for at, texts in tv.slices(part.column(place))]
-                    sets.append((np.concatenate([h for _, h, _ in pieces]), np.concatenate([np.diff(o) for _, _, o in pieces])))
+                    pieces = [shingle_sets(texts, n) for _, texts in tv.slices(part.column(place))]
+                    sets.append((np.concatenate([h for h, _ in pieces]), np.concatenate([np.diff(o) for _, o in pieces])))
                 (hx, nx), (hy, ny) = sets
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
                 value = np.concatenate([hx, hy])
@@ -164,26 +209,46 @@ def _verify(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFram
     return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
 
 
-def _leaders(postings: DataFrame, percent: int) -> DataFrame:
-    """(x, y, l): for each shingle's documents after its first, that first one, where the sizes allow a link."""
+_PLACE_BITS = 36
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """(t, q, j, x, m): the postings (t, q, j) of shingles that several prefixes hold, with the first one's document x and its q as m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        held, told = np.zeros((3, 0), np.int64), False  # the first posting of the last shingle, and whether it was emitted
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, j, n, level = (batch.column(k).to_numpy() for k in (0, 2, 3, 4))
-            if state is not None:
-                t, j, n, level = (np.concatenate([[s], c]) for s, c in zip(state, (t, j, n, level), strict=True))
-            new = np.ones(len(t), bool)
+            had = held.shape[1]
+            t, q, j = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            n = len(t)
+            new = np.ones(n, bool)
             new[1:] = t[1:] != t[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
-            fits = ~new & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
-            at = np.flatnonzero(fits)
-            yield pa.RecordBatch.from_arrays([pa.array(j[first[at]]), pa.array(j[at]), pa.array(np.minimum(level[at], level[first[at]]))], names=["x", "y", "l"])
-            state = tuple(c[first[-1]] for c in (t, j, n, level))
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            several = ~new
+            several[first[~new]] = True
+            if had:
+                several[0] &= not told
+            at = np.flatnonzero(several)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t[at], q[at], j[at], j[first[at]], q[first[at]])], names=["t", "q", "j", "x", "m"])
+            tail = first[-1]
+            told = bool(several[tail]) or (had and tail == 0 and told)
+            held = np.stack([c[tail : tail + 1] for c in (t, q, j)])
+
+    return postings.repartition("t").sortWithinPartitions("t", "q", "j").mapInArrow(run, "t long, q long, j long, x long, m long")
+
+
+def _size(q: Column) -> Column:
+    return q.bitwiseAND((1 << 32) - 1)
 
-    return postings.repartition("t").sortWithinPartitions("t", "p", "j").select("t", "p", "j", "n", "l").mapInArrow(run, "x long, y long, l long")
+
+def _extension(q: Column) -> Column:
+    return F.shiftright(q, 32).bitwiseAND(15)
+
+
+def _fits(n_x: Column, n_y: Column, percent: int) -> Column:
+    return 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
 
 
 def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
@@ -199,24 +264,30 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
                 hashes, offsets = shingle_sets(texts, n)
                 tokens, lengths, choice = prefixes(hashes, offsets, levels.value, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets)), pa.array(choice), lists], names=["j", "n", "l", "tokens"])
-
-    heads = rows.select("j", "text").mapInArrow(prefix_rows, "j long, n long, l long, tokens array<long>")
-    heads = keys.stored(spark, heads.join(nodes.select(F.col("node").alias("j")), "j", "left_semi"))
-    postings = heads.select("j", "n", "l", F.posexplode("tokens").alias("p", "t"))
-
-    met = _leaders(postings, percent).groupBy("x", "y").agg(F.count("*").alias("c"))
-    star = met.groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", "y")
-    links = keys.stored(spark, _verify(star, rows, n, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(choice << 32 | np.diff(offsets)), lists], names=["j", "q", "tokens"])
+
+    heads = rows.select("j", "text").mapInArrow(prefix_rows, "j long, q long, tokens array<long>")
+    heads = heads.join(nodes.select(F.col("node").alias("j")), "j", "left_semi")
+    postings = heads.select("j", "q", F.posexplode("tokens").alias("p", "t")).select("t", (F.shiftleft(F.col("p").cast("long"), _PLACE_BITS) + F.col("q")).alias("q"), "j")
+    shared = keys.stored(spark, _shared(postings))
+
+    # First the document that shares most with each, of those that lead a shingle; which pairs are looked at here matters for speed alone.
+    size, first_size = _size(F.col("q")), _size(F.col("m"))
+    met = shared.filter((F.col("j") != F.col("x")) & _fits(size, first_size, percent)).groupBy("x", F.col("j").alias("y")).agg(F.count("*").alias("c"), F.first(_needed(size, first_size, _extension(F.col("q")), _extension(F.col("m")), percent)).alias("need"))
+    star = met.filter("4 * c >= need").groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", "y")
+    links = keys.stored(spark, _verify(spark, keys.stored(spark, star), rows, n, percent))
     classes = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    labelled = heads.join(classes.select(F.col("v").alias("j"), "r"), "j", "left").select("j", "n", "l", F.coalesce("r", "j").alias("r"), F.explode("tokens").alias("t"))
+    # Then every candidate pair whose ends are in different classes.
+    labelled = shared.join(classes.select(F.col("v").alias("j"), "r"), "j", "left").select("t", "j", F.coalesce("r", "j").alias("r"), size.alias("n"), _extension(F.col("q")).alias("l"))
+    labelled = keys.stored(spark, labelled)
     open_ = labelled.groupBy("t").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low != high").select("t")
-    across = keys.stored(spark, labelled.join(open_, "t"))
+    across = labelled.join(open_, "t")
     x, y = across.alias("x"), across.alias("y")
-    fits = (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    rest = x.join(y, fits).groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("x.l", "y.l")).alias("l")).filter("c >= l").select("x", "y")
-    more = keys.stored(spark, _verify(rest, rows, n, percent))
+    apart = (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _fits(F.col("x.n"), F.col("y.n"), percent)
+    need = _needed(F.col("x.n"), F.col("y.n"), F.col("x.l"), F.col("y.l"), percent)
+    rest = x.join(y, apart).groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(need).alias("need")).filter("c >= need").select("x", "y")
+    more = keys.stored(spark, _verify(spark, keys.stored(spark, rest), rows, n, percent))
     if not more.isEmpty():
         classes = components(spark, classes.select(F.col("v").alias("a"), F.col("r").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
