@@ -38,9 +38,12 @@ _DATE = "2024-01-01T00:00:00Z"
 _IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def payload_digest(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's bytes."""
-    digits = F.sha1(payload.cast("binary"))
+#: Revisits that may be broadcast: about 100 bytes each, 20 MB in all. More are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of 20 bytes given as 40 hexadecimal digits."""
     parts = []
     for group in range(8):
         bits = F.conv(F.substring(digits, group * 5 + 1, 5), 16, 10).cast("int")
@@ -48,38 +51,41 @@ def payload_digest(payload: Column) -> Column:
     return F.concat(*parts)
 
 
-def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(page, url, payload, bytes, digest, refers): refers is the page whose payload of at least ``least_bytes`` this one repeats."""
-    rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).cast("long").alias("number"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": payload_digest(F.col("payload"))})
-    light = rows.filter(F.col("bytes") >= least_bytes).select("page", "number", "digest")
-    first = light.groupBy("digest").agg(F.min("number").alias("refers"), F.count("*").alias("n")).filter("n > 1 and refers is not null").select("digest", "refers")
-    again = light.join(first, "digest").filter("number is null or number != refers").select(F.coalesce("page", F.lit("null")).alias("page"), "digest", "refers").distinct()
-    named = rows.drop("number").withColumn("page", F.coalesce("page", F.lit("null")))
-    return named.join(again.hint("shuffle_hash"), ["page", "digest"], "left")
+def with_revisits(spark: SparkSession, pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """(page, url, payload, bytes, sha1, refers): refers is the page whose payload of at least ``least_bytes`` this one repeats."""
+    page, payload = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = pages.select(page.alias("page"), F.col(id_col).cast("long").alias("number"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
+    light = keys.stored(spark, rows.filter(F.col("bytes") >= least_bytes).select("page", "number", "sha1"))
+    first = light.groupBy("sha1").agg(F.min("number").alias("refers"), F.count("*").alias("n")).filter("n > 1 and refers is not null").select("sha1", "refers")
+    again = keys.stored(spark, light.join(first, "sha1").filter("number is null or number != refers").select("page", "sha1", "refers").distinct())
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again.hint("shuffle_hash")
+    return rows.drop("number").join(again, ["page", "sha1"], "left")
 
 
 def records(rows: DataFrame) -> DataFrame:
     """One string per record, without the CRLF CRLF that ends it."""
     encoded = F.col("url")
-    for code in [*range(32), 127, 32]:
+    for code in [*range(33), 127]:
         encoded = F.replace(encoded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    encoded = F.when(F.col("url").rlike("[\\x00-\\x20\\x7F]"), encoded).otherwise(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     revisit = F.col("refers").isNotNull()
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    header = F.concat(
+    length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
+    value = F.concat(
         F.lit(f"{MAGIC}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"\r\nWARC-Record-ID: <{_ID}"), F.col("page"), F.lit(f">\r\nWARC-Date: {_DATE}\r\n"),
         F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("WARC-Target-URI: "), encoded, F.lit("\r\n"))),
         F.when(revisit, F.concat(F.lit(f"WARC-Refers-To: <{_ID}"), F.col("refers").cast("string"), F.lit(f">\r\nWARC-Profile: {_IDENTICAL}\r\n"))).otherwise(""),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
+        F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("sha1")), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit(END),
+        http, F.when(revisit, "").otherwise(F.col("payload")),
     )
-    return rows.select(F.concat(header, block).alias("value"))
+    return rows.select(value.alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, **options) -> None:
+def write_warc(spark: SparkSession, pages: DataFrame, path: str, **options) -> None:
     """Write one record per row of ``pages`` to ``.txt`` part files under ``path``, which are plain WARC files."""
-    records(with_revisits(pages, **options)).write.option("lineSep", END).text(path)
+    records(with_revisits(spark, pages, **options)).write.option("lineSep", END).text(path)
 
 
 def parse(segment: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
@@ -258,7 +264,7 @@ def _before(*columns: str):
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = keys.shared_dir(spark)
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, least_bytes=0)
+    write_warc(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), path, least_bytes=0)
     back = read_warc(spark, path)
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return back.select(number("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"))

@@ -24,7 +24,7 @@ def brute(pages):
 
 def roundtrip(spark, pages, tmp_path, part_bytes):
     frame = spark.createDataFrame([(*p, 7) for p in pages], "page_id long, url string, html string, bytes int").repartition(2)
-    op.write_warc(frame, str(tmp_path / "w"))
+    op.write_warc(spark, frame, str(tmp_path / "w"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", part_bytes)
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
@@ -44,8 +44,9 @@ def pages(seed):
     return out + [out[2], (None, None, "same"), (None, None, None)]
 
 
-@pytest.mark.parametrize(("seed", "part_bytes"), [(1, "128m"), (2, "700"), (3, "97")])
-def test_round_trip_with_magic_in_payloads(spark, tmp_path, seed, part_bytes):
+@pytest.mark.parametrize(("seed", "part_bytes", "most"), [(1, "128m", 1000), (2, "700", 0)])
+def test_round_trip_with_magic_in_payloads(spark, tmp_path, monkeypatch, seed, part_bytes, most):
+    monkeypatch.setattr(op, "BROADCAST_ROWS", most)
     rows = pages(seed)
     assert roundtrip(spark, rows, tmp_path, part_bytes) == brute(rows)
 
@@ -57,7 +58,7 @@ def test_reached_by_doubling():
 
 def test_empty_table(spark, tmp_path):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
-    op.write_warc(frame, str(tmp_path / "w"))
+    op.write_warc(spark, frame, str(tmp_path / "w"))
     assert op.read_warc(spark, str(tmp_path / "w")).count() == 0
 
 
