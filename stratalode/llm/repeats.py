@@ -65,6 +65,27 @@ def anchors(values: np.ndarray, grams: np.ndarray, first: np.ndarray, window: in
     return grams[position], span_values(values, low, high + window, 1), document, pack(position - base, low - base, high - base)
 
 
+def anchor_batch(a: np.ndarray, u: np.ndarray, j: np.ndarray, w: np.ndarray, *, symmetric: bool) -> pa.RecordBatch:
+    """Anchor rows of a slice, of which one goes for each span that the slice holds more than once.
+
+    What the slice itself shows is settled here, so that a passage that fills a corpus reaches its gram's task once
+    a slice. Settled rows carry their place inverted and go to a task of their own hash, just to be written.
+    """
+    a, u = a.view(np.int64), u.view(np.int64)
+    order = np.lexsort((w, j, u, a))
+    a, u, j, w = a[order], u[order], j[order], w[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (u[1:] != u[:-1])
+    settled = ~new
+    if symmetric:
+        settled |= np.append(settled[1:], False)
+    at = np.flatnonzero(settled)
+    spread = tv.mix(j[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w[at].astype(np.uint64)).view(np.int64)
+    zero = np.zeros(len(at), np.int64)
+    columns = [np.concatenate(x) for x in ((a[new], spread), (u[new], zero), (j[new], j[at]), (w[new], ~w[at]))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "u", "j", "w"])
+
+
 def verdicts(sorted_rows: DataFrame, *, symmetric: bool) -> DataFrame:
     """Judge anchor rows that come sorted by (a, u, j, w), one gram's rows in one partition.
 
@@ -91,7 +112,7 @@ def verdicts(sorted_rows: DataFrame, *, symmetric: bool) -> DataFrame:
             index = np.arange(n)
             first = np.maximum.accumulate(np.where(new_u, index, 0))
             again = ~new_u & ((j != j[first]) | (w != w[first]))
-            whole = again.copy()
+            whole = again | (w < 0)
             if symmetric:
                 whole[first[again]] = True
             # A gram with more than one span: every span's first row is to be compared.
@@ -108,7 +129,7 @@ def verdicts(sorted_rows: DataFrame, *, symmetric: bool) -> DataFrame:
                 both = np.flatnonzero(whole & mixed)
                 at = np.concatenate([keep, both])
                 kind = np.concatenate([np.where(whole[keep], WHOLE, MIXED), np.full(len(both), MIXED)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(j[at]), pa.array(w[at]), pa.array(kind)], names=["j", "w", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(j[at]), pa.array(np.where(w[at] < 0, ~w[at], w[at])), pa.array(kind)], names=["j", "w", "kind"])
             tail = first[-1]
             same = had and tail == 0
             told_whole = bool(whole[tail]) or (same and told_whole)

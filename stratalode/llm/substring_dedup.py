@@ -46,7 +46,7 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
             for at, texts in tv.slices(batch.column(1)):
                 values, first = _hashes(texts)
                 a, u, document, w = repeats.anchors(values, tv.windows(values, half), first, window, half)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(j[at + document]), pa.array(w)], names=["a", "u", "j", "w"])
+                yield repeats.anchor_batch(a, u, j[at + document], w, symmetric=False)
 
     halves = rows.select("j", "text").mapInArrow(level_one, repeats.ANCHOR_SCHEMA)
     judged = keys.stored(spark, repeats.verdicts(repeats.sorted_by_gram(halves), symmetric=False))
@@ -63,9 +63,8 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
                 starts = tv.ranges(low, high - low + 1)
                 document = np.repeat(document, high - low + 1)
                 place = first[document] + starts
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tv.windows(values, window, s)[place].view(np.int64)) for s in (0, 1)] + [pa.array(j[at + document]), pa.array(repeats.pack(starts, starts, starts))], names=["a", "u", "j", "w"]
-                )
+                a, u = (tv.windows(values, window, s)[place] for s in (0, 1))
+                yield repeats.anchor_batch(a, u, j[at + document], repeats.pack(starts, starts, starts), symmetric=False)
 
     unclear = repeats.marked(rows, judged.filter(F.col("kind") == repeats.MIXED))
     singles = unclear.select("j", "id", "text", "marks").mapInArrow(level_two, repeats.ANCHOR_SCHEMA)

@@ -119,7 +119,7 @@ def suffix_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "do
             for at, texts in tv.slices(batch.column(1)):
                 values = tv.mix(texts.data.astype(np.uint64) + np.uint64(1))
                 a, u, document, w = repeats.anchors(values, tv.byte_windows(texts.data, gram), texts.offsets, window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(u.view(np.int64)), pa.array(j[at + document]), pa.array(w)], names=["a", "u", "j", "w"])
+                yield repeats.anchor_batch(a, u, j[at + document], w, symmetric=True)
 
     found = rows.select("j", "text").mapInArrow(anchor_rows, repeats.ANCHOR_SCHEMA)
     judged = keys.stored(spark, repeats.verdicts(repeats.sorted_by_gram(found), symmetric=True))
