@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from .porter import stem
@@ -55,7 +56,8 @@ def bm25_scores(chunks: DataFrame, query: str, *, id_col: str = "chunk_id", cont
         # Only words that can have one of the stems are stemmed: a stem keeps the first two letters.
         heads = sorted({t[:2] for t in terms})
         counted = counted.withColumn("_t", stems(F.filter("_t", lambda w: F.substring(w, 1, 2).isin(heads))))
-    tf = {f"_tf{i}": F.size(F.filter("_t", lambda w, t=t: w == t)) for i, t in enumerate(terms)}
+    equal = lambda t: lambda w: w == t  # noqa: E731  (a second parameter would be the index)
+    tf = {f"_tf{i}": F.size(F.filter("_t", equal(t))) for i, t in enumerate(terms)}
     counted = counted.withColumns(tf).drop("_t")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"_df{i}") for i, c in enumerate(tf)])
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_dl") / F.col("_avg"))
@@ -71,7 +73,7 @@ def bm25_scores(chunks: DataFrame, query: str, *, id_col: str = "chunk_id", cont
     return scored.select(*chunks.columns, "score")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(words: pd.Series) -> pd.Series:
     cache: dict[str, str] = {}
     out = []
