@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_store, warc
+from . import decontaminate, jaccard_join, mixing, oracles, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_store, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -18,5 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": oracles.OP1,
+    "op3_substring_dedup": oracles.OP3,
+    "op8_jaccard_join": oracles.OP8,
+    "op10_decontaminate": oracles.OP10,
     "op9_quality_rules": quality_rules.ORACLE,
 }
