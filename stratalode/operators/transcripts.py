@@ -53,7 +53,7 @@ def turn_texts(segments: DataFrame, *, by: str, order: str, speaker: str = "spea
 
 def time_at(timeline: Column, at: Column) -> Column:
     """Time of a character position: interpolated inside an entry, the start of the next one between two, the last end after all."""
-    reached = F.filter(timeline, lambda e: at < F.greatest(e["char_end"], e["char_start"] + 1))[0]
+    reached = F.get(F.filter(timeline, lambda e: at < F.greatest(e["char_end"], e["char_start"] + 1)), F.lit(0))
     share = (at - reached["char_start"]) / F.greatest(reached["char_end"] - reached["char_start"], F.lit(1))
     inside = F.floor(reached["start_ms"] + (reached["end_ms"] - reached["start_ms"]) * share + 0.5).cast("long")
     return F.when(reached.isNull(), F.element_at(timeline, -1)["end_ms"]).when(at <= reached["char_start"], reached["start_ms"]).otherwise(inside)

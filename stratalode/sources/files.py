@@ -34,7 +34,7 @@ def source_type(path: Column) -> Column:
 
 
 def walked(spark: SparkSession, folder: str) -> DataFrame:
-    """Files under a folder without hidden ones and archive litter, with a type; contents are read only if asked for."""
+    """Files under a folder without hidden ones and archive litter, with a type; contents are read only if asked for. Empty files are not listed by the reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     return files.filter(~name.startswith(".") & ~F.col("path").contains("/__MACOSX/")).withColumn("source_type", source_type(F.col("path"))).filter("source_type is not null")
@@ -172,7 +172,7 @@ def from_lines(lines: DataFrame, schema: str) -> DataFrame:
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """(name, title, body) of Markdown files with front matter, in natural order by ``place``."""
-    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), F.col("value"))
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "([^/]+)$", 1).alias("name"), F.col("value"))
     front = F.regexp_extract("value", "^---\\r?\\n([\\s\\S]*?)\\r?\\n---", 1)
     title = F.trim(F.regexp_extract(front, "(?m)^title:\\s*(.+)$", 1))
     body = F.regexp_replace("value", "^---\\r?\\n[\\s\\S]*?\\r?\\n---\\r?\\n?", "")
