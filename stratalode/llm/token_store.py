@@ -39,6 +39,26 @@ CACHE_WORDS = 600_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+class _Grown:
+    """Array that doubles its room."""
+
+    def __init__(self, kind):
+        self._room, self._n = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    def extend(self, values) -> None:
+        n = self._n + len(values)
+        if n > len(self._room):
+            self._room = np.concatenate([self._room[: self._n], np.zeros(max(n, 2 * self._n) - self._n, self._room.dtype)])
+        self._room[self._n : n] = values
+        self._n = n
+
+    def values(self) -> np.ndarray:
+        return self._room[: self._n]
+
+
 class WordEncoder:
     """Ids of texts by way of their words; remembers words, in bounded memory."""
 
@@ -51,10 +71,20 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {"": []}
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = [], []
+        self.known: dict[bytes, int] = {}  # word to code; a word is one piece or two
+        self.first, self.second = _Grown(np.int32), _Grown(np.int32)
+        self.pieces: dict[str, int] = {"": 0}
+        self.start, self.length, self.pool = _Grown(np.int64), _Grown(np.int32), _Grown(np.uint32)
+        self.start.extend([0])
+        self.length.extend([0])
+
+    def _add(self, pieces: list[str], ids: list[int], ends: np.ndarray) -> None:
+        base = len(self.start)
+        self.pieces.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        begins = np.concatenate([[0], ends[:-1]])
+        self.start.extend(len(self.pool) + begins)
+        self.length.extend(ends - begins)
+        self.pool.extend(ids)
 
     def _encode_pieces(self, fresh: list[str]) -> None:
         """Pieces of one kind of character each are one word to the tokenizer; its end-of-word marks tell them apart."""
@@ -63,30 +93,30 @@ class WordEncoder:
             ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
-                lo = 0
-                for piece, hi in zip(some, ends.tolist(), strict=True):
-                    self.pieces[piece] = ids[lo:hi]
-                    lo = hi
+                self._add(some, ids, ends)
             else:
-                for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.pieces[piece] = e.ids
+                self._encode_each(some)
+
+    def _encode_each(self, fresh: list[str]) -> None:
+        if not fresh:
+            return
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self._add(fresh, [t for x in lists for t in x], np.cumsum([len(x) for x in lists]))
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        split = [_PLAIN.fullmatch(t) for t in texts]
-        parts = [(m[1].lower(), m[2]) if m else (t, None) for m, t in zip(split, texts, strict=True)]
-        self._encode_pieces([p for p in dict.fromkeys(p for a, b in parts if b is not None for p in (a, b)) if p not in self.pieces])
-        odd = [a for a, b in parts if b is None]
-        found = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True)) if odd else {}
-        for w, (a, b) in zip(words, parts, strict=True):
-            ids = found[a] if b is None else self.pieces[a] + self.pieces[b]
-            self.known[w] = len(self.start)
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        pieces, match = self.pieces, _PLAIN.fullmatch
+        parts = [m.groups() if (m := match(t)) else (t, None) for t in b"\n".join(words).decode("utf-8", "replace").lower().split("\n")]
+        plain = {p for a, b in parts if b is not None for p in (a, b)}
+        self._encode_pieces([p for p in plain if p not in pieces])
+        exact = [w.decode("utf-8", "replace") for w, (_, b) in zip(words, parts, strict=True) if b is None]
+        # An odd word is encoded whole and as it is; it cannot be named like a plain piece.
+        self._encode_each([t for t in dict.fromkeys(exact) if t not in pieces])
+        names = iter(exact)
+        base = len(self.known)
+        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        both = [(pieces[a], pieces[b]) if b is not None else (pieces[next(names)], 0) for a, b in parts]
+        self.first.extend([x for x, _ in both])
+        self.second.extend([y for _, y in both])
 
     def encode(self, texts: tv.Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``, and their offsets)."""
@@ -107,15 +137,15 @@ class WordEncoder:
         if fresh:
             self._learn(fresh)
         code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        length = np.array(self.length, np.int64)[code] if len(words) else np.zeros(0, np.int64)
-        start = np.array(self.start, np.int64)[code] if len(words) else np.zeros(0, np.int64)
-        first = np.concatenate([[0], np.cumsum(counts)])
+        piece = np.stack([self.first.values()[code], self.second.values()[code]], axis=1).reshape(-1)
+        length, start = self.length.values()[piece].astype(np.int64), self.start.values()[piece]
+        first = 2 * np.concatenate([[0], np.cumsum(counts)])
         sums = np.concatenate([[0], np.cumsum(length)])
         offsets = np.concatenate([[0], np.cumsum(sums[first[1:]] - sums[first[:-1]] + 1)])
         ids = np.full(int(offsets[-1]), end_id, np.uint32)
         body = np.ones(len(ids), bool)
         body[offsets[1:] - 1] = False
-        ids[body] = self.pool[tv.ranges(start, length)]
+        ids[body] = self.pool.values()[tv.ranges(start, length)]
         return ids, offsets
 
 
