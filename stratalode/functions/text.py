@@ -314,3 +314,20 @@ def transcript_budget(max_tokens: Column, reasoning: Column) -> Column:
     """Characters that a transcript may have beside the reserved tokens of a 32,768-token window."""
     free = 32_768 - (max_tokens + F.greatest(F.lit(0), F.coalesce(reasoning, F.lit(0))))
     return F.greatest(F.lit(24_000).cast("long"), F.round(free * 3.2 * 0.6).cast("long"))
+
+
+def sanitized(c: Column, allowed: tuple[str, ...], default: str) -> Column:
+    """A value of the allowed ones, else the default."""
+    return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
+
+
+def split_outputs(outputs: Column, shown: int = 5) -> Column:
+    """Tool outputs (array of structs with ``type``) as the first sources and the others."""
+    sources = F.filter(outputs, lambda o: o["type"] == "source")
+    return F.struct(F.slice(sources, 1, shown).alias("sources"), F.size(sources).alias("n_sources"), F.filter(outputs, lambda o: o["type"] != "source").alias("others"))
+
+
+def tool_title(name: Column, argument: Column) -> Column:
+    """A trace line's title: the tool's words, and what it was asked."""
+    words = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return F.when(F.coalesce(argument, F.lit("")) == "", words).otherwise(F.concat(words, F.lit(": "), compact(argument, 80)))

@@ -109,3 +109,21 @@ def same_ids(current: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def has_local_only(documents: DataFrame) -> DataFrame:
     return documents.filter("local_only").limit(1).agg((F.count("*") > 0).alias("has_local_only"))
+
+
+def corpus_listing(documents: DataFrame, *, key: str = "id", limit: int = 50, offset: int = 0) -> DataFrame:
+    """Titles and paths of active documents in alphabetical order, one page, with the total."""
+    active = documents.filter("active")
+    total = active.agg(F.count("*").alias("total"))
+    return page(active, key=key, limit=limit, offset=offset).select("row", key, "title", "source_path").crossJoin(F.broadcast(total))
+
+
+def transcript(chunks: DataFrame, document) -> DataFrame:
+    """Chunks of one recording in order, with their times and speakers."""
+    return chunks.filter(F.col("document_id") == F.lit(document)).orderBy("chunk_index")
+
+
+def pending_groups(groups: DataFrame, pending: DataFrame) -> DataFrame:
+    """All groups with their pending uploads; a group that only has uploads is one too."""
+    waiting = pending.groupBy("group").agg(F.array_sort(F.collect_list("name")).alias("pending"))
+    return groups.join(waiting, "group", "full_outer").withColumn("pending", F.coalesce("pending", F.array().cast("array<string>")))

@@ -74,3 +74,25 @@ def cross_encoded(pairs: DataFrame, make: Callable[[], CrossEncoder], query: str
             yield pd.DataFrame({id_col: pdf[id_col], "relevance": scores})
 
     return pairs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, relevance double")
+
+
+class RemoteEmbedder:
+    """Embeddings over HTTP from a server with the common ``/embeddings`` shape; answers are put in the order of the texts."""
+
+    def __init__(self, base_url: str, model: str, api_key: str = "", timeout: float = 60.0):
+        self.base_url, self.model, self.api_key, self.timeout = base_url.rstrip("/"), model, api_key, timeout
+        self.key = f"remote/{model}"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        import json
+        from urllib.request import Request, urlopen
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        with urlopen(Request(f"{self.base_url}/embeddings", body, headers), timeout=self.timeout) as answer:
+            data = sorted(json.load(answer)["data"], key=lambda x: x["index"])
+        if len(data) != len(texts):
+            raise ValueError("a model must return one vector per text")
+        out = np.array([x["embedding"] for x in data], np.float32)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)

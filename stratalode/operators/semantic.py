@@ -67,3 +67,20 @@ def search_semantic(chunks: DataFrame, query: list[float], *, model: str = MODEL
 def with_content(winners: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Late materialisation: contents of at most k winners, which are small enough to broadcast by their own limit."""
     return chunks.join(F.broadcast(winners), id_col)
+
+
+def reembedded(chunks: DataFrame, fresh: DataFrame, model: str, *, id_col: str = "chunk_id") -> DataFrame:
+    """``chunks`` with new vectors (id, content_hash, embedding) put where the content is still what was embedded.
+
+    A chunk that changed meanwhile keeps its old state and stays stale.
+    """
+    new = fresh.select(id_col, F.col("content_hash").alias("_h"), F.col("embedding").alias("_e"))
+    same = F.col("_h") == F.sha2("content", 256)
+    rows = chunks.join(new, id_col, "left")
+    return rows.withColumns({"embedding": F.when(same, F.col("_e")).otherwise(F.col("embedding")), "embedding_model": F.when(same, F.lit(model)).otherwise(F.col("embedding_model"))}).select(*chunks.columns)
+
+
+def index_counts(chunks: DataFrame, model: str) -> DataFrame:
+    """How many chunks have a vector of the model, and how many wait for one."""
+    ready = F.col("embedding").isNotNull() & F.col("embedding_model").eqNullSafe(F.lit(model))
+    return chunks.agg(F.count_if(ready).alias("ready"), F.count_if(~ready).alias("stale"))

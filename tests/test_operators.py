@@ -181,3 +181,36 @@ def test_models_and_catalogue(spark):
     assert abs(np.linalg.norm(v[1]) - 1) < 1e-6
     assert catalog.same_ids(spark.range(3), spark.range(3)).first()[0] and not catalog.same_ids(spark.range(3), spark.range(4)).first()[0]
     assert [r["id"] for r in catalog.after_key(spark.range(9), "id", 3, 2).collect()] == [4, 5]
+
+
+def test_remote_embeddings_are_put_in_order():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            body = json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 0.0]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = models.RemoteEmbedder(f"http://127.0.0.1:{server.server_port}", "m").embed(["a", "bb"])
+    server.shutdown()
+    assert got.tolist() == [[1.0, 0.0], [1.0, 0.0]]
+
+
+def test_reembedding_and_listing(spark):
+    chunks = spark.createDataFrame([(1, "a", [0.0], "old"), (2, "b", None, None)], "chunk_id long, content string, embedding array<float>, embedding_model string")
+    fresh = chunks.select("chunk_id", F.sha2(F.when(F.col("chunk_id") == 1, F.lit("a")).otherwise("changed"), 256).alias("content_hash"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    got = semantic.reembedded(chunks, fresh, "new")
+    assert {r["chunk_id"]: r["embedding_model"] for r in got.collect()} == {1: "new", 2: None}
+    assert tuple(semantic.index_counts(got, "new").first()) == (1, 1)
+    docs = spark.createDataFrame([(1, "b", "p", True), (2, "A", "p", True), (3, "c", "p", False)], "id int, title string, source_path string, active boolean")
+    assert [(r["title"], r["total"]) for r in catalog.corpus_listing(docs, limit=1, offset=1).collect()] == [("b", 2)]
