@@ -251,6 +251,18 @@ def _fits(n_x: Column, n_y: Column, percent: int) -> Column:
     return 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
 
 
+def _early(x: str, y: str, percent: int) -> Column:
+    """Whether a shared shingle stands early enough on both sides to be among a linked pair's first L.
+
+    A linked pair shares at least t = percent (n_x + n_y) / (100 + percent) shingles, so the k-th of them (from 0) has
+    at most n - t + k before it. Rare shingles come first, so sets with many of their own are not even joined.
+    """
+    n, l, p = ((F.col(f"{x}.{c}"), F.col(f"{y}.{c}")) for c in ("n", "l", "p"))
+    least = F.ceil(F.lit(percent) * (n[0] + n[1]) / F.lit(100.0 + percent) - 1e-9)
+    spare = F.least(*l) - 1 - least
+    return (p[0] <= n[0] + spare) & (p[1] <= n[1] + spare)
+
+
 def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """(j, id, n_shingles, lead) for ``rows`` (j, id, text): lead is the smallest j of the row's class."""
     survey = keys.stored(spark, _survey(rows, n))
@@ -279,14 +291,18 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
     classes = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     # Then every candidate pair whose ends are in different classes.
-    labelled = shared.join(classes.select(F.col("v").alias("j"), "r"), "j", "left").select("t", "j", F.coalesce("r", "j").alias("r"), size.alias("n"), _extension(F.col("q")).alias("l"))
+    labelled = shared.join(classes.select(F.col("v").alias("j"), "r"), "j", "left").select("t", "j", "q", F.coalesce("r", "j").alias("r"))
     labelled = keys.stored(spark, labelled)
     open_ = labelled.groupBy("t").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low != high").select("t")
-    across = labelled.join(open_, "t")
+    across = labelled.join(open_, "t").select("t", "j", "r", size.alias("n"), _extension(F.col("q")).alias("l"), F.shiftright("q", _PLACE_BITS).alias("p"))
     x, y = across.alias("x"), across.alias("y")
-    apart = (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _fits(F.col("x.n"), F.col("y.n"), percent)
-    need = _needed(F.col("x.n"), F.col("y.n"), F.col("x.l"), F.col("y.l"), percent)
-    rest = x.join(y, apart).groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(need).alias("need")).filter("c >= need").select("x", "y")
+    rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _early("x", "y", percent))
+    rest = rest.groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("x.l", "y.l")).alias("l")).filter("c >= l").select("x", "y")
+    prefix = shared.groupBy("j").agg(F.collect_list("t").alias("ts"), F.first(size).alias("n"), F.first(_extension(F.col("q"))).alias("l"))
+    for side in ("x", "y"):
+        rest = rest.join(prefix.select(F.col("j").alias(side), F.col("ts").alias(f"t{side}"), F.col("n").alias(f"n{side}"), F.col("l").alias(f"l{side}")), side)
+    enough = F.size(F.array_intersect("tx", "ty")) >= _needed(F.col("nx"), F.col("ny"), F.col("lx"), F.col("ly"), percent)
+    rest = rest.filter(_fits(F.col("nx"), F.col("ny"), percent) & enough).select("x", "y")
     more = keys.stored(spark, _verify(spark, keys.stored(spark, rest), rows, n, percent))
     if not more.isEmpty():
         classes = components(spark, classes.select(F.col("v").alias("a"), F.col("r").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
