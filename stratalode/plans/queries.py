@@ -280,6 +280,16 @@ def context_block(spark, sf_dir):
     return retrieval.context_block(rows, by=["source"]).select("source", F.sha2("context_block", 256).alias("digest"), "n_matches")
 
 
+@query(f"""WITH c AS (SELECT source, doc_id, doc_id // 100 AS part, concat(source, '-', lang, '-', doc_id) AS title, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM documents),
+l AS (SELECT source, part, doc_id, concat('- ', CASE WHEN length(t) <= 1200 THEN t ELSE concat(rtrim(substr(t, 1, 1200)), '...') END, ' (source: ', title, ')') AS line FROM c)
+SELECT source, part, sha256(concat('Relevant context:', chr(10), string_agg(line, chr(10) ORDER BY doc_id))) AS digest, count(*)::INT AS n_matches FROM l GROUP BY source, part""")
+def context_block_all(spark, sf_dir):
+    """Every document is a match; a block holds the documents of a source whose ids share all but two digits, so it stays small on any table."""
+    title = F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string"))
+    rows = A.table(spark, sf_dir, "documents").select("source", F.expr("doc_id div 100").alias("part"), title.alias("title"), F.lit(None).cast("string").alias("source_path"), F.col("text").alias("content"), F.col("doc_id").alias("rank"))
+    return retrieval.context_block(rows, by=["source", "part"]).select("source", "part", F.sha2("context_block", 256).alias("digest"), "n_matches")
+
+
 @query(f"""WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM documents),
 x AS (SELECT source, doc_id, number, CASE WHEN length(t) <= 300 THEN t ELSE concat(rtrim(substr(t, 1, 300)), '...') END AS t FROM c),
 y AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN 0 ELSE 2 END AS sep FROM x WHERE t <> ''),
