@@ -142,6 +142,13 @@ def chunk_positions(spark, sf_dir):
     return placed.filter("id % 3 = 0").select("id", F.col("position").cast("long").alias("position"), "total_chunks")
 
 
+@query("""SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations""")
+def chunk_positions_all(spark, sf_dir):
+    """Positions of every turn, not only of asked ids."""
+    placed = retrieval.positions(A.turns(spark, sf_dir), document="session_id", order=("turn",))
+    return placed.select("id", F.col("position").cast("long").alias("position"), "total_chunks")
+
+
 @query("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
 SELECT conv_id AS session_id, turn, position FROM p WHERE position BETWEEN least(greatest(3, 1), total) AND least(least(greatest(3, 1), total) + 3, total)""")
 def chunk_window(spark, sf_dir):
