@@ -98,6 +98,15 @@ def term_statistics(spark, sf_dir):
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("df > 5")
 
 
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term""")
+def term_statistics_all(spark, sf_dir):
+    """Statistics of every term, also of those in a single document."""
+    rows = lexical.postings(A.chunks(spark, sf_dir))["postings"]
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
 _HYBRID_SQL = f"""WITH {_bm25_sql(['tion', 'ing'])},
 lex AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10),
 q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 2),
