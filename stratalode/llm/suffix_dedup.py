@@ -8,6 +8,7 @@ multikey quicksort (eight bytes a level, only runs of equals go on), and the com
 every depth, the classes of equal suffixes; the reversed bytes before the anchors are ordered alike. A window is
 repeated if another anchor has the same class on both sides. The leading bytes that the splitters cut by are no
 longer than what equal windows share, so neighbours that could share a window never lie on two sides of a boundary.
+A group of very many suffixes with the same leading bytes is not held: its windows are compared by hash in a shuffle.
 
 Defined cases: null text is empty; a repeated row counts as another document, so an exact copy of at least
 ``window`` bytes loses everything, in every copy; shorter ones nothing; null ids are ids; an empty table gives no
@@ -16,10 +17,12 @@ rows. Columns besides id and text are ignored. Removal may cut a character in tw
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +31,14 @@ from . import textvec as tv
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
 SUFFIX = "lead binary, head binary, tail binary, j long, place long"
-SPAN = "j long, low long, high long"
+#: A repeated span of a document, or (with a and u) a window of a hot group that is still to be judged.
+PIECE = "j long, low long, high long, a long, u long, w long"
 #: Bytes of a suffix that splitters are sampled from.
 LEADING_BYTES = 48
+#: Suffixes that a bucket holds before it is solved where the leading bytes change next.
+PIECE_SUFFIXES = 20_000
+#: Suffixes with the same leading bytes that are held at once; the windows of a larger group are compared by a shuffle.
+HOT_SUFFIXES = 60_000
 
 
 def multikey_order(matrix: np.ndarray) -> np.ndarray:
@@ -107,6 +115,74 @@ def repeated_reach(heads: list[bytes], tails: list[bytes], window: int, gram: in
     return least, greatest
 
 
+def hot_windows(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
+    """A row for every window of the spans of these suffixes, with two hashes, in the form of anchors."""
+    rows = max(1, 1_000_000 // (2 * window))
+    for at in range(0, batch.num_rows, rows):
+        lead, head, tail, j, place = batch.slice(at, rows).columns
+        spans = [t[::-1] + a + b for a, b, t in zip(lead.to_pylist(), head.to_pylist(), tail.to_pylist(), strict=True)]
+        sizes = np.array([len(x) for x in spans])
+        data, first = np.frombuffer(b"".join(spans), np.uint8), np.cumsum(sizes) - sizes
+        counts = sizes - window + 1
+        starts = tv.ranges(first, counts)
+        a, u = (tv.byte_windows(data, window, seed)[starts] for seed in (0, 1))
+        before = pc.binary_length(tail).to_numpy().astype(np.int64)
+        low = np.repeat(place.to_numpy() - before - first, counts) + starts
+        a, u, j, w = repeats.anchor_batch(a, u, np.repeat(j.to_numpy(), counts), repeats.pack(low, low, low), symmetric=True).columns
+        none = pa.nulls(len(j), pa.int64())
+        yield pa.RecordBatch.from_arrays([j, none, none, a, u, w], names=["j", "low", "high", "a", "u", "w"])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int, hottest: int) -> Iterator[pa.RecordBatch]:
+    """PIECE rows of suffixes that come in the order of their leading bytes.
+
+    A bucket is solved in pieces of about ``most`` suffixes that end where the leading bytes change. Of a group that
+    shares them and reaches ``hottest``, the windows go on to be judged by hash, a batch at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    hot: bytes | None = None
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        heads = [a + b for a, b in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)]
+        least, greatest = repeated_reach(heads, table.column(2).to_pylist(), window, gram)
+        at = np.flatnonzero(greatest >= 0)
+        place = table.column(4).to_numpy()[at]
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([table.column(3).combine_chunks().take(pa.array(at)), pa.array(place - greatest[at]), pa.array(place - least[at] + window), none, none, none], names=["j", "low", "high", "a", "u", "w"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if hot is not None or size >= most:
+            lead = batch.column(0).to_pylist()
+            last = hot if hot is not None else held[-1].column(0)[-1].as_py()
+            cut = next((i for i, x in enumerate(lead) if x != last), len(lead))
+            if hot is not None:
+                yield from hot_windows(batch.slice(0, cut), window)
+            elif cut:
+                held.append(batch.slice(0, cut))
+                size += cut
+            if cut == len(lead):
+                if hot is None and size >= hottest:
+                    table = pa.Table.from_batches(held)
+                    group = bisect.bisect_left(table.column(0).to_pylist(), last)
+                    if size - group >= hottest:
+                        if group:
+                            yield solve(table.slice(0, group))
+                        for x in table.slice(group).to_batches():
+                            yield from hot_windows(x, window)
+                        held, size, hot = [], 0, last
+                continue
+            if held:
+                yield solve(pa.Table.from_batches(held))
+            held, size, hot, batch = [], 0, None, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
 def suffix_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
     """One row per document row: id, n_bytes, n_removed, n_spans, the removed spans, and the bytes left."""
     gram = max(1, window // 2)
@@ -143,44 +219,15 @@ def suffix_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "do
                         names=["lead", "head", "tail", "j", "place"],
                     )
 
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts)
-            heads = [a + b for a, b in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)]
-            least, greatest = repeated_reach(heads, table.column(2).to_pylist(), window, gram)
-            at = np.flatnonzero(greatest >= 0)
-            place = table.column(4).to_numpy()[at]
-            return pa.RecordBatch.from_arrays([table.column(3).combine_chunks().take(pa.array(at)), pa.array(place - greatest[at]), pa.array(place - least[at] + window)], names=["j", "low", "high"])
-
-        # Suffixes come in the order of their leading bytes; a bucket is solved in pieces that end where those change.
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if size >= 20_000:
-                lead = batch.column(0).to_pylist()
-                last = held[-1].column(0)[-1].as_py()
-                cut = next((i for i, x in enumerate(lead) if x != last), len(lead))
-                held.append(batch.slice(0, cut))
-                if cut < len(lead):
-                    yield solve(held)
-                    held, size, batch = [], 0, batch.slice(cut)
-                else:
-                    continue
-            held.append(batch)
-            size += batch.num_rows
-        if held:
-            yield solve(held)
-
     unclear = repeats.marked(rows, judged.filter(F.col("kind") == repeats.MIXED))
     sorted_suffixes = unclear.select("j", "id", "text", "marks").mapInArrow(suffixes, SUFFIX).repartitionByRange("lead").sortWithinPartitions("lead")
-    partly = sorted_suffixes.mapInArrow(bucket, SPAN)
-    whole = judged.filter(F.col("kind") == repeats.WHOLE).select(
+    most, hottest = PIECE_SUFFIXES, HOT_SUFFIXES
+    found_pieces = keys.stored(spark, sorted_suffixes.mapInArrow(lambda batches: pieces(batches, window, gram, most, hottest), PIECE))
+    windows = repeats.verdicts(repeats.sorted_by_gram(found_pieces.filter("a is not null").select("a", "u", "j", "w")), symmetric=True)
+    whole = judged.unionByName(windows).filter(F.col("kind") == repeats.WHOLE).select(
         "j", (F.shiftright("w", 20) - F.shiftright("w", 10).bitwiseAND(1023)).alias("low"), (F.shiftright("w", 20) - F.col("w").bitwiseAND(1023) + window).alias("high")
     )
-    spans = whole.unionByName(partly).groupBy("j").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).hint("shuffle_hash")
+    spans = whole.unionByName(found_pieces.filter("a is null").select("j", "low", "high")).groupBy("j").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).hint("shuffle_hash")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
