@@ -6,7 +6,8 @@ shards as this rule gives. For a wanted number of shards the capacity is bisecte
 groups into them makes shards nearly equal in bytes.
 
 Groups of one size are interchangeable, so the plan is made over the histogram of sizes, not over groups: sizes
-under 2**16 exactly, larger ones by their 16 leading bits. That is at most 2**16 + 47 * 2**15 classes at any
+under 2**16 exactly, larger ones by their 16 leading bits. A fixed capacity takes each class at its largest size, so
+it is never exceeded and the fit of large groups is conservative; a number of shards takes the mean size. That is at most 2**16 + 47 * 2**15 classes at any
 number of documents, and it is all the driver sees. Ranks inside a class and slots inside a shard come from
 counts of salted buckets, so neither a hot class nor a shard passes through one task.
 
@@ -164,8 +165,8 @@ def pack(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", t
     n_rows = rows.count()
     groups = rows.groupBy("d", "e").agg(F.sum("size").alias("bytes"))
     groups = keys.stored(spark, groups.withColumn("class", F.expr("shiftleft(shiftright(bytes, greatest(length(bin(bytes)) - 16, 0)), greatest(length(bin(bytes)) - 16, 0))")))
-    histogram = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
-    classes = sorted(((r["class"], r["n"], r["bytes"] / r["n"]) for r in histogram), reverse=True)
+    histogram = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).collect()
+    classes = sorted(((r["class"], r["n"], r["largest"] if capacity else r["bytes"] / r["n"]) for r in histogram), reverse=True)
     plan = best_fit_decreasing(classes, capacity) if capacity else equal_plan(classes, shards)
     if plan is None:
         raise ValueError(f"a group of equal texts is larger than {capacity} bytes")

@@ -1,16 +1,29 @@
 """Bounds of the operators at their edges."""
 
 import random
+from collections import defaultdict
 
 import pyarrow as pa
 import pyarrow.compute
 import pytest
 
-from stratalode.llm import suffix_dedup
+from stratalode.llm import sharding, suffix_dedup
 
 from .test_suffix_dedup import brute, random_docs, run
 
 
+def test_capacity_holds_for_groups_over_64_kb(spark):
+    # Two sizes of one class (16 leading bits): its mean lies under the larger one.
+    sizes = [2**17, 2**17 + 3] * 6
+    docs = spark.createDataFrame([(i, chr(97 + i) * (s - 1)) for i, s in enumerate(sizes)], "doc_id long, text string")
+    shards = defaultdict(int)
+    for r in sharding.pack(spark, docs, shards=None, capacity=2**18 + 3).collect():
+        shards[r["shard"]] += r["size"]
+    assert sum(shards.values()) == sum(sizes) and max(shards.values()) <= 2**18 + 3
+    with pytest.raises(ValueError, match="larger"):
+        sharding.pack(spark, docs, shards=None, capacity=2**17 + 2)
+
+
 @pytest.mark.parametrize(("seed", "window"), [(1, 12), (2, 20), (3, 31)])
 def test_hot_groups_of_suffixes_match_brute_force(spark, monkeypatch, seed, window):
     monkeypatch.setattr(suffix_dedup, "PIECE_SUFFIXES", 3)
