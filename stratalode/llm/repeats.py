@@ -23,16 +23,25 @@ VERDICT_SCHEMA = "j long, w long, kind int"
 WHOLE = 1
 #: Some other span has the same gram; windows must be compared one by one.
 MIXED = 2
+#: Bits of each of the two distances in a packed place; 31 are left for the position, as much as a document can have.
+DISTANCE_BITS = 16
+FARTHEST = (1 << DISTANCE_BITS) - 1
+
+
+def checked(window: int, gram: int) -> None:
+    """Raise if distances of anchors to their window starts do not fit a packed place."""
+    if window - gram > FARTHEST:
+        raise ValueError(f"a window of {window} is too long: window - gram is {window - gram}, at most {FARTHEST}")
 
 
 def pack(position: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Place of an anchor with the distances to its first and last window start."""
-    return position << 20 | (position - low) << 10 | (position - high)
+    return position << 2 * DISTANCE_BITS | (position - low) << DISTANCE_BITS | (position - high)
 
 
 def unpack(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    position = w >> 20
-    return position, position - (w >> 10 & 1023), position - (w & 1023)
+    position = w >> 2 * DISTANCE_BITS
+    return position, position - (w >> DISTANCE_BITS & FARTHEST), position - (w & FARTHEST)
 
 
 def span_values(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:

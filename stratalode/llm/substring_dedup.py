@@ -35,9 +35,10 @@ def _hashes(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray]:
 def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """One row per document row: id, n_words, n_removed, kept_text (the words left, joined by one space).
 
-    A word goes if a window of ``window`` words covers it whose sequence also starts earlier.
+    A word goes if a window of ``window`` words covers it whose sequence also starts earlier. ``window`` is at most 131,071.
     """
     half = max(1, window // 2)
+    repeats.checked(window, half)
     rows = keys.keyed(spark, documents, id_col, text_col)
 
     def level_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

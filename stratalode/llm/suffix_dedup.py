@@ -184,8 +184,9 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int, gram: int, most: int,
 
 
 def suffix_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
-    """One row per document row: id, n_bytes, n_removed, n_spans, the removed spans, and the bytes left."""
+    """One row per document row: id, n_bytes, n_removed, n_spans, the removed spans, and the bytes left. ``window`` is at most 131,071."""
     gram = max(1, window // 2)
+    repeats.checked(window, gram)
     leading = min(LEADING_BYTES, gram)
     rows = keys.keyed(spark, documents, id_col, text_col)
 
@@ -224,8 +225,9 @@ def suffix_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str = "do
     most, hottest = PIECE_SUFFIXES, HOT_SUFFIXES
     found_pieces = keys.stored(spark, sorted_suffixes.mapInArrow(lambda batches: pieces(batches, window, gram, most, hottest), PIECE))
     windows = repeats.verdicts(repeats.sorted_by_gram(found_pieces.filter("a is not null").select("a", "u", "j", "w")), symmetric=True)
+    bits = repeats.DISTANCE_BITS
     whole = judged.unionByName(windows).filter(F.col("kind") == repeats.WHOLE).select(
-        "j", (F.shiftright("w", 20) - F.shiftright("w", 10).bitwiseAND(1023)).alias("low"), (F.shiftright("w", 20) - F.col("w").bitwiseAND(1023) + window).alias("high")
+        "j", (F.shiftright("w", 2 * bits) - F.shiftright("w", bits).bitwiseAND(repeats.FARTHEST)).alias("low"), (F.shiftright("w", 2 * bits) - F.col("w").bitwiseAND(repeats.FARTHEST) + window).alias("high")
     )
     spans = whole.unionByName(found_pieces.filter("a is null").select("j", "low", "high")).groupBy("j").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).hint("shuffle_hash")
 

@@ -3,11 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
 
-from stratalode.llm import sharding, suffix_dedup
+from stratalode.llm import repeats, sharding, substring_dedup, suffix_dedup
 
 from .test_suffix_dedup import brute, random_docs, run
 
@@ -24,6 +25,34 @@ def test_capacity_holds_for_groups_over_64_kb(spark):
         sharding.pack(spark, docs, shards=None, capacity=2**17 + 2)
 
 
+def test_places_of_long_windows_survive_packing():
+    position, low, high = np.array([70_000, 2**31 - 1]), np.array([70_000 - 65_535, 2**31 - 1 - 1024]), np.array([70_000 - 1024, 2**31 - 1])
+    w = repeats.pack(position, low, high)
+    assert (w >= 0).all() and all((a == b).all() for a, b in zip(repeats.unpack(w), (position, low, high), strict=True))
+
+
+def test_windows_over_2047_words_are_found(spark):
+    rng = random.Random(4)
+    word = lambda c: f"{c}{rng.randrange(10**6)}{c}"
+    passage = [word("w") for _ in range(2500)]
+    docs = [(i, " ".join([word(c) for _ in range(1500)] + passage + [word(c) for _ in range(1500)])) for i, c in enumerate("ab")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["id"]: (r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(spark, frame, window=2400).collect()}
+    words = docs[1][1].split()
+    assert got == {0: (0, docs[0][1]), 1: (2500, " ".join(words[:1500] + words[4000:]))}
+    raw = [t.encode() for _, t in docs]
+    first = " ".join(passage).encode()
+    got = {r["id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(spark, frame, window=5000).collect()}
+    assert got == {i: (len(first) + 2, b[: b.index(first) - 1] + b[b.index(first) + len(first) + 1 :]) for i, b in enumerate(raw)}
+
+
+def test_too_long_windows_are_refused(spark):
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for dedup in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup):
+        with pytest.raises(ValueError, match="too long"):
+            dedup(spark, frame, window=200_000)
+
+
 @pytest.mark.parametrize(("seed", "window"), [(1, 12), (2, 20), (3, 31)])
 def test_hot_groups_of_suffixes_match_brute_force(spark, monkeypatch, seed, window):
     monkeypatch.setattr(suffix_dedup, "PIECE_SUFFIXES", 3)
