@@ -3,8 +3,8 @@
 Each slice of the training documents gets a suffix array over its words. Every suffix of
 every benchmark item is searched in it by binary search, which yields the places of all
 verbatim windows and, by joining neighbours on a diagonal, the longest verbatim matches.
-The benchmark is the query set: it goes to the workers in blocks of bounded size, the
-documents are read once and nothing is shuffled.
+The benchmark is the query set: it goes to the workers in blocks of bounded size, which a
+worker reads one after the other, the documents are read once and nothing is shuffled.
 
 Defined cases: a null or empty text has no words and is never contaminated; a null item text
 has no windows; a null item id counts as the string ``null``; repeated rows and repeated items
@@ -15,7 +15,7 @@ an empty document table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +138,16 @@ def shard_matches(numbers: np.ndarray, first: np.ndarray, test: TestSuffixes) ->
     return origin[order[tv.ranges(low, high - low)]], np.repeat(np.arange(len(low)), high - low)
 
 
-def scan(texts: tv.Texts, tests: list[TestSuffixes]) -> dict[str, list]:
+def one_by_one(blocks: list) -> Iterator[TestSuffixes]:
+    """The values of the blocks. If there are several, none is kept by its broadcast, so a worker holds two at most, however many there are."""
+    for block in blocks:
+        if len(blocks) == 1 or not getattr(block, "_path", None):  # no path: Spark has decrypted it already
+            yield block.value
+        else:
+            yield block.load_from_path(block._path)
+
+
+def scan(texts: tv.Texts, tests: Iterable[TestSuffixes]) -> dict[str, list]:
     """Per document of a slice: words, hit words, ids of the items found, and the longest verbatim match with its place."""
     low = texts.lower()
     starts, ends, first = tv.words(low, tv.NON_ALNUM)
@@ -204,7 +213,7 @@ def contamination(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in tv.slices(batch.column(1)):
-                got = scan(texts, [b.value for b in blocks])
+                got = scan(texts, one_by_one(blocks))
                 longest = got["longest"]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -225,7 +234,7 @@ def remove_contaminated(spark: SparkSession, documents: DataFrame, benchmark: Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in tv.slices(batch.column(place)):
-                clean = scan(texts, [b.value for b in blocks])["n_hit"] == 0
+                clean = scan(texts, one_by_one(blocks))["n_hit"] == 0
                 yield batch.slice(at, len(texts)).filter(pa.array(clean))
 
     return documents.mapInArrow(run, documents.schema)

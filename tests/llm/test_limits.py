@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pytest
 
-from stratalode.llm import repeats, sharding, substring_dedup, suffix_dedup
+from stratalode.llm import decontaminate, repeats, sharding, substring_dedup, suffix_dedup
 
 from .test_suffix_dedup import brute, random_docs, run
 
@@ -78,3 +78,11 @@ def test_hot_group_is_not_held_whole(monkeypatch):
     assert max(solved) <= 250 and sum(solved) == 60
     windows = got.filter(pa.compute.is_valid(got["a"]))
     assert set(windows["j"].to_pylist()) == set(range(100, 3100))
+
+
+def test_workers_hold_no_more_than_one_benchmark_block(spark):
+    items = spark.createDataFrame([(i, f"item {i} has words of its own") for i in range(40)], "item_id long, text string")
+    blocks = decontaminate.test_blocks(spark, items, "item_id", "text", 10, 200)
+    assert len(blocks) > 1
+    assert sorted(n for test in decontaminate.one_by_one(blocks) for n in test.names) == sorted(map(str, range(40)))
+    assert not any(hasattr(b, "_value") for b in blocks)
