@@ -112,6 +112,20 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         at = to
 
 
+def cut_at(data: np.ndarray, separators: np.ndarray, limit: int = SLICE_BYTES):
+    """A long text as consecutive one-document Texts of about ``limit`` bytes, each but the last ending with a separator."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + limit)
+        while to < len(data):
+            blank = np.flatnonzero(separators[data[to : to + limit]])
+            to = min(len(data), to + limit) if not len(blank) else to + int(blank[0]) + 1
+            if len(blank):
+                break
+        yield Texts(data[at:to], np.array([0, to - at]))
+        at = to
+
+
 def words(texts: Texts, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each document the index of its first word (one more entry)."""
     inside = ~separators[texts.data]

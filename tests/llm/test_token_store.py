@@ -32,13 +32,49 @@ def expected(docs):
 def test_words_encode_as_whole_texts_do():
     import pyarrow as pa
 
-    coder, t = op.WordEncoder(op.tokenizer_spec()), tokenizer()
+    coder, t = op.PieceEncoder(op.tokenizer_spec()), tokenizer()
+    assert not coder.whole
     for _ in range(2):
         ids, offsets = coder.encode(tv.column_texts(pa.array(ODD, pa.string())), 1)
         for i, text in enumerate(ODD):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1], text
 
 
+def test_hash_clashes_and_small_caches_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    t, real = tokenizer(), tv.span_hashes
+    monkeypatch.setattr(op, "CACHE_PIECES", 3)
+    monkeypatch.setattr(tv, "span_hashes", lambda data, s, e, seed=0: real(data, s, e, seed) % np.uint64(2) if seed == 0 else real(data, s, e, seed))
+    coder = op.PieceEncoder(op.tokenizer_spec())
+    for _ in range(2):
+        ids, offsets = coder.encode(tv.column_texts(pa.array(ODD[:11], pa.string())), 1)
+        for i, text in enumerate(ODD[:11]):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tv, "SLICE_BYTES", 50)
+    coder, t = op.PieceEncoder(op.tokenizer_spec()), tokenizer()
+    for text in ("some words, it's 12 Éa <|endoftext|> " * 40, "x" * 400 + " y", "z" * 500):
+        parts = list(tv.cut_at(tv.column_texts(pa.array([text])).data, tv.SPACE, 50))
+        assert b"".join(p.text(0) for p in parts).decode() == text
+        assert coder.encode(tv.column_texts(pa.array([text])), 1)[0].tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import json
+
+    spec = json.loads(op.tokenizer_spec())
+    assert op.piecewise(json.dumps(spec))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "a b<"}]}):
+        assert not op.piecewise(json.dumps({**spec, **change}))
+    spec["model"]["end_of_word_suffix"] = ""
+    assert not op.piecewise(json.dumps(spec))
+
+
 def test_round_trip(spark, tmp_path):
     docs = list(enumerate(ODD)) + [(3, "Hello, World!"), (3, "Hello"), (None, "null id"), (None, None)] + [(100 + i, "the same passage " * 400 + str(i)) for i in range(5)]
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, start int").repartition(3)
@@ -49,20 +85,31 @@ def test_round_trip(spark, tmp_path):
     assert got == [x[:4] for x in want]
     assert [r["ids"] for r in op.read_ids(spark, path).orderBy("start").collect()] == [x[4] for x in want]
     chunks = spark.read.parquet(f"{path}/pieces").filter("kind = 'chunk'")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    assert chunks.count() == chunks.select("key").distinct().count()
     assert spark.read.parquet(f"{path}/manifest").agg(F.sum("tokens"), F.sum("documents")).first() == (sum(x[2] for x in want), len(want))
 
 
-def test_a_changed_chunk_is_found(spark, tmp_path):
-    frame = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
-    path = str(tmp_path / "store")
+@pytest.mark.parametrize("broken", ["chunk", "lost chunk", "lost document", "lost part", "manifest"])
+def test_damage_is_found(spark, tmp_path, broken):
+    frame = spark.createDataFrame([(i, f"some words here {i} " * (1 + i % 3)) for i in range(40)], "doc_id long, text string")
+    path, other = str(tmp_path / "store"), str(tmp_path / "other")
     op.write_store(spark, frame, path, op.tokenizer_spec(), end_id=1)
-    pieces = spark.read.parquet(f"{path}/pieces").withColumn("data", F.when(F.col("kind") == "chunk", F.overlay("data", F.lit(b"\x09\x09"), F.lit(1)))).cache()
-    pieces.count()
-    other = str(tmp_path / "other")
+    pieces, recipes, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("pieces", "recipes", "manifest"))
+    if broken == "chunk":
+        pieces = pieces.withColumn("data", F.when(F.col("kind") == "chunk", F.overlay("data", F.lit(b"\x09\x09"), F.lit(1))))
+    elif broken == "lost chunk":
+        pieces = pieces.filter(f"kind != 'chunk' or key != x'{bytes(recipes.first()['digests'][0]).hex()}'")
+    elif broken == "lost document":
+        recipes = recipes.filter("j != 7")
+    elif broken == "lost part":
+        recipes, manifest = recipes.filter("part != 0"), manifest.filter("part != 0")
+    else:
+        manifest = manifest.withColumn("tokens", F.col("tokens") + 1)
     pieces.write.partitionBy("kind").parquet(f"{other}/pieces")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{other}/recipes")
-    with pytest.raises(Exception, match="does not match"):
+    recipes.write.parquet(f"{other}/recipes")
+    manifest.write.parquet(f"{other}/manifest")
+    spark.read.parquet(f"{path}/store").write.parquet(f"{other}/store")
+    with pytest.raises(Exception, match="not match"):
         op.verified_documents(spark, other).collect()
 
 
