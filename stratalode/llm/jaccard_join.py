@@ -11,6 +11,10 @@ document is verified against the one that shares most prefix shingles with it am
 shingles; classes follow; then all candidates whose ends are still in different classes are verified. A pair
 inside a class can add nothing, a pair across classes is never left out, so the classes are exact.
 
+Verification moves the sorted shingle hashes of the documents that a pair asks for, not texts: those of ``y`` go to
+their pairs, those of ``x`` once to each of the parts that its pairs are cut into, so a document with very many
+partners is neither copied for each of them nor left to one task.
+
 Defined cases: null, empty or blank text has an empty set, size 0, no links, and is its own class; fewer words
 than a shingle make one shingle; equal sets are one node from the start; rows that share an id are ordered by
 text; null ids come last and a class led by one has a null id; an empty table gives no rows.
@@ -36,6 +40,10 @@ _BLOCK = 1 << 14
 EXTENSIONS = (1, 2, 3, 4, 6, 8)
 #: What verifying one candidate costs, in postings read.
 VERIFY_COST = 20.0
+#: Bytes of text in one pass of shingling, whose arrays take about a hundred times as much.
+PASS_BYTES = (1 << 19) - 1
+#: Pairs of one document that are verified in one part.
+PART_PAIRS = 512
 
 
 def shingle_sets(texts: tv.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +112,7 @@ def _survey(rows: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(SKETCH, np.int64)
         names = ["j", "id", "n", "d", "e", "block", "counts"]
         for batch in batches:
-            for at, texts in tv.slices(batch.column(2)):
+            for at, texts in tv.slices(batch.column(2), PASS_BYTES):
                 hashes, offsets = shingle_sets(texts, n)
                 counts += np.bincount(_slot(hashes), minlength=SKETCH)
                 d, e = set_digests(hashes, offsets)
@@ -115,7 +123,7 @@ def _survey(rows: DataFrame, n: int) -> DataFrame:
             none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts.astype(np.uint32).reshape(k, _BLOCK)], pa.binary())], names=names)
 
-    return rows.select("j", "id", "text").mapInArrow(run, "j long, id long, n long, d long, e long, block int, counts binary")
+    return rows.select("j", "id", "text").mapInArrow(tv.released(run), "j long, id long, n long, d long, e long, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -156,87 +164,82 @@ def _filter_bits(j: np.ndarray) -> np.ndarray:
     return (tv.mix(j.astype(np.uint64)) >> np.uint64(64 - 23)).astype(np.int64)
 
 
-def _asked(spark: SparkSession, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(j, text) of ``rows`` that some pair may ask for, by a bitmap of fixed size over the ids of all pairs."""
+def _asked_sets(spark: SparkSession, pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(j, hashes) of ``rows`` that some pair may ask for, by a bitmap of fixed size over the ids of all pairs."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            if batch.num_columns == 1:
-                for raw in batch.column(0).to_pylist():
-                    out |= np.frombuffer(raw, np.uint8)
-            else:
-                at = _filter_bits(np.concatenate([c.to_numpy() for c in batch.columns]))
-                np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            at = _filter_bits(np.concatenate([c.to_numpy() for c in batch.columns]))
+            np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
 
-    parts = pairs.select("x", "y").mapInArrow(bits, "bits binary")
-    # One megabyte a part; parts are joined in a few tasks before the driver joins those.
-    raw = [np.frombuffer(r["bits"], np.uint8) for r in parts.coalesce(8).mapInArrow(bits, "bits binary").collect()]
-    wanted = spark.sparkContext.broadcast(np.unpackbits(np.bitwise_or.reduce(raw), bitorder="little").astype(bool) if raw else np.zeros(FILTER_BITS, bool))
+    # One megabyte a task, and at most eight tasks.
+    raw = [np.frombuffer(r["bits"], np.uint8) for r in pairs.select("x", "y").coalesce(8).mapInArrow(bits, "bits binary").collect()]
+    wanted = spark.sparkContext.broadcast(np.bitwise_or.reduce(raw) if raw else np.zeros(FILTER_BITS // 8, np.uint8))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value[_filter_bits(batch.column(0).to_numpy())]))
+            at = _filter_bits(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for lo, texts in tv.slices(batch.column(1), PASS_BYTES):
+                hashes, offsets = shingle_sets(texts, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((8 * offsets).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])], names=["j", "hashes"])
 
-    return rows.select("j", "text").mapInArrow(keep, "j long, text string")
+    return rows.select("j", "text").mapInArrow(tv.released(sets), "j long, hashes binary")
 
 
-def _verify(spark: SparkSession, pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link. Texts that are asked for travel once to the pairs of x and once to those of y."""
-    texts = _asked(spark, pairs, rows)
-    with_x = pairs.join(texts.select(F.col("j").alias("x"), F.col("text").alias("text_x")), "x")
-    both = with_x.join(texts.select(F.col("j").alias("y"), F.col("text").alias("text_y")), "y")
+def _linked(percent: int):
+    """A function over (x, part, y, hashes) sorted by x, part, y: the row without y has the hashes of x, the others those of their y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = []
-                for place in (2, 3):
-                    pieces = [shingle_sets(texts, n) for _, texts in tv.slices(part.column(place))]
-                    sets.append((np.concatenate([h for h, _ in pieces]), np.concatenate([np.diff(o) for _, o in pieces])))
-                (hx, nx), (hy, ny) = sets
-                row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-                value = np.concatenate([hx, hy])
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-                shared = np.bincount(row[1:][same], minlength=len(nx))
-                linked = pa.array(100 * shared >= percent * (nx + ny - shared))
-                yield part.select(["x", "y"]).filter(linked)
-
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+            sets = tv.column_texts(batch.column(3))
+            values, offsets = np.frombuffer(sets.data.tobytes(), np.uint64), sets.offsets // 8
+            sizes = np.diff(offsets)
+            heads = np.flatnonzero(np.asarray(batch.column(2).is_null()))
+            shared, own_size = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            for at, to in zip([-1, *heads.tolist()], [*heads.tolist(), len(sizes)], strict=True):
+                if at >= 0:
+                    own = values[offsets[at] : offsets[at + 1]]
+                if at + 1 == to or not len(own):
+                    continue
+                theirs = values[offsets[at + 1] : offsets[to]]
+                met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                sums = np.concatenate([[0], np.cumsum(met)])
+                shared[at + 1 : to] = sums[offsets[at + 2 : to + 1] - offsets[at + 1]] - sums[offsets[at + 1 : to] - offsets[at + 1]]
+                own_size[at + 1 : to] = len(own)
+            linked = 100 * shared >= percent * (own_size + sizes - shared)
+            linked[heads] = False
+            yield batch.select([0, 2]).filter(pa.array(linked))
+
+    return run
+
+
+def _verify(spark: SparkSession, pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sets link."""
+    sets = _asked_sets(spark, pairs, rows, n)
+    many = pairs.groupBy("x").agg(F.count("*").alias("c")).filter(F.col("c") > PART_PAIRS)
+    dealt = pairs.join(many, "x", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("y"), F.ceil(F.col("c") / PART_PAIRS)), F.lit(0)).cast("long")).select("x", "part", "y")
+    dealt = keys.stored(spark, dealt)
+    theirs = dealt.join(sets.withColumnRenamed("j", "y"), "y").select("x", "part", "y", "hashes")
+    own = dealt.select("x", "part").distinct().join(sets.withColumnRenamed("j", "x"), "x").select("x", "part", F.lit(None).cast("long").alias("y"), "hashes")
+    together = own.unionByName(theirs).repartition("x", "part").sortWithinPartitions("x", "part", F.asc_nulls_first("y"))
+    return together.mapInArrow(tv.released(_linked(percent)), "x long, y long")
 
 
 _PLACE_BITS = 36
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """(t, q, j, x, m): the postings (t, q, j) of shingles that several prefixes hold, with the first one's document x and its q as m."""
+    """(t, q, j, x, m): the postings (t, q, j) of shingles that several prefixes hold, with the first one's document x and its q as m.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, told = np.zeros((3, 0), np.int64), False  # the first posting of the last shingle, and whether it was emitted
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            had = held.shape[1]
-            t, q, j = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            n = len(t)
-            new = np.ones(n, bool)
-            new[1:] = t[1:] != t[:-1]
-            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            several = ~new
-            several[first[~new]] = True
-            if had:
-                several[0] &= not told
-            at = np.flatnonzero(several)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t[at], q[at], j[at], j[first[at]], q[first[at]])], names=["t", "q", "j", "x", "m"])
-            tail = first[-1]
-            told = bool(several[tail]) or (had and tail == 0 and told)
-            held = np.stack([c[tail : tail + 1] for c in (t, q, j)])
-
-    return postings.repartition("t").sortWithinPartitions("t", "q", "j").mapInArrow(run, "t long, q long, j long, x long, m long")
+    The firsts are aggregated before they are shuffled, and a hot shingle's postings are split by the skew join.
+    """
+    first = postings.groupBy("t").agg(F.min(F.struct("q", "j")).alias("f"), F.count("*").alias("c")).filter("c > 1")
+    return postings.join(first.select("t", F.col("f.j").alias("x"), F.col("f.q").alias("m")), "t").select("t", "q", "j", "x", "m")
 
 
 def _size(q: Column) -> Column:
@@ -272,13 +275,13 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
 
     def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(keys.without_copies, batches):
-            for at, texts in tv.slices(batch.column(1)):
+            for at, texts in tv.slices(batch.column(1), PASS_BYTES):
                 hashes, offsets = shingle_sets(texts, n)
                 tokens, lengths, choice = prefixes(hashes, offsets, levels.value, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(choice << 32 | np.diff(offsets)), lists], names=["j", "q", "tokens"])
 
-    heads = rows.select("j", "text").mapInArrow(prefix_rows, "j long, q long, tokens array<long>")
+    heads = rows.select("j", "text").mapInArrow(tv.released(prefix_rows), "j long, q long, tokens array<long>")
     heads = heads.join(nodes.select(F.col("node").alias("j")), "j", "left_semi")
     postings = heads.select("j", "q", F.posexplode("tokens").alias("p", "t")).select("t", (F.shiftleft(F.col("p").cast("long"), _PLACE_BITS) + F.col("q")).alias("q"), "j")
     shared = keys.stored(spark, _shared(postings))
@@ -321,10 +324,11 @@ def jaccard_join(spark: SparkSession, documents: DataFrame, *, id_col: str = "do
 
 def drop_near_duplicates(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with the first row of each class, all columns unchanged."""
-    rows = keys.with_key(spark, documents, id_col, text_col, "_j")
-    light = rows.select(F.col("_j").alias("j"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gone = jaccard_classes(spark, light, n=n, percent=percent).filter("j != lead").select(F.col("j").alias("_j"))
-    return rows.join(gone, "_j", "left_anti").select(*documents.columns)
+    key = keys.free_name(documents)
+    rows = keys.with_key(spark, documents, id_col, text_col, key)
+    light = rows.select(F.col(key).alias("j"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    gone = jaccard_classes(spark, light, n=n, percent=percent).filter("j != lead").select(F.col("j").alias(key))
+    return rows.join(gone, key, "left_anti").select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    if not root:  # a single machine, as in tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="stratalode-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -28,6 +30,14 @@ def stored(spark: SparkSession, frame: DataFrame, at: str | None = None) -> Data
     return spark.read.schema(frame.schema).parquet(at)
 
 
+def free_name(frame: DataFrame, name: str = "_j") -> str:
+    """A column name that ``frame`` does not have, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_key(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str, key: str = "j") -> DataFrame:
     """``documents`` with a unique long ``key`` in the order of (id, text), nulls last.
 

@@ -107,9 +107,10 @@ def placements(spark: SparkSession, documents: DataFrame, *, key_col: str, id_co
 
 def mix(spark: SparkSession, documents: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``documents`` with every row as often as the mixture uses it, all columns unchanged."""
-    rows = keys.with_key(spark, documents, id_col, text_col, "_j")
-    uses = placements(spark, rows, key_col="_j", id_col=id_col, source_col=source_col, text_col=text_col, **options).select(F.col("key").alias("_j"))
-    return rows.join(uses.hint("shuffle_hash"), "_j").select(*documents.columns)
+    key = keys.free_name(documents)
+    rows = keys.with_key(spark, documents, id_col, text_col, key)
+    uses = placements(spark, rows, key_col=key, id_col=id_col, source_col=source_col, text_col=text_col, **options).select(F.col("key").alias(key))
+    return rows.join(uses.hint("shuffle_hash"), key).select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

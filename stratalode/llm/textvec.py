@@ -8,15 +8,33 @@ finished by an avalanche step; two seeds together give 128 bits.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one vectorised pass holds; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one vectorised pass holds (with one more place, a power of two); a longer document is a pass of its own.
+SLICE_BYTES = (1 << 20) - 1
 
 _U64 = np.uint64
 
 
+def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` for a worker that lives on after its task: what the task no longer uses goes back to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def _separators(chars: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(chars)] = True
@@ -51,7 +69,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 2 * SLICE_BYTES:
+        if size <= SLICE_BYTES + 1:
             _POWERS[int(base)] = have
     return have[:n]
 

@@ -363,7 +363,7 @@ def write_store(spark: SparkSession, documents: DataFrame, path: str, spec: str,
             yield batch.filter(pa.array(new, pa.bool_()))
 
     names = ["kind", "key", "n", "j", "id", "data", "digests", "lengths", "root"]
-    encoded = keys.keyed(spark, documents, id_col, text_col).select("j", "id", "text").mapInArrow(encode, _PIECE)
+    encoded = keys.keyed(spark, documents, id_col, text_col).select("j", "id", "text").mapInArrow(tv.released(encode), _PIECE)
     encoded.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, _PIECE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/pieces")
 
     recipes = spark.read.schema(_PIECE).parquet(f"{path}/pieces").filter("kind = 'recipe'").select("j", "id", F.col("n").alias("n_tokens"), "digests", "lengths", "root")

@@ -87,6 +87,17 @@ def test_drop_near_duplicates_keeps_columns_and_first_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} >= leads and kept.count() < len(docs)
 
 
+def test_parts_of_a_hot_document_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(op, "PART_PAIRS", 2)
+    docs = near_docs(5)
+    assert run(spark, docs) == brute(docs, 4, 85)
+
+
+def test_a_column_named_like_the_key_stays(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f g", "keep1"), (2, "a b c d e f g", "keep2"), (3, None, "keep3")], "doc_id long, text string, _j string")
+    assert sorted(r["_j"] for r in op.drop_near_duplicates(spark, frame).collect()) == ["keep1", "keep3"]
+
+
 def test_empty_table(spark):
     assert op.jaccard_join(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
