@@ -9,7 +9,9 @@ candidate if it shares min(Lx, Ly) prefix shingles.
 Only the classes of the link graph are asked for, so not every pair of a large group is looked at: first each
 document is verified against the one that shares most prefix shingles with it among the leaders of its
 shingles; classes follow; then all candidates whose ends are still in different classes are verified. A pair
-inside a class can add nothing, a pair across classes is never left out, so the classes are exact.
+inside a class can add nothing, a pair across classes is never left out, so the classes are exact. Every document
+also has a parity bitmap of its whole set: two bitmaps differ in no more bits than their sets in shingles, so pairs
+whose bitmaps differ in more than a linked pair's sets can are dropped where they meet, and no link is lost.
 
 Verification moves the sorted shingle hashes of the documents that a pair asks for, not texts: those of ``y`` go to
 their pairs, those of ``x`` once to each of the parts that its pairs are cut into, so a document with very many
@@ -40,6 +42,8 @@ _BLOCK = 1 << 14
 EXTENSIONS = (1, 2, 3, 4, 6, 8)
 #: What verifying one candidate costs, in postings read.
 VERIFY_COST = 20.0
+#: 64-bit words of a document's parity bitmap.
+PARITY_WORDS = 8
 #: Bytes of text in one pass of shingling, whose arrays take about a hundred times as much.
 PASS_BYTES = (1 << 19) - 1
 #: Pairs of one document that are verified in one part.
@@ -68,6 +72,17 @@ def set_digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return tuple(repeats.span_values(hashes, offsets[:-1], offsets[1:], s).view(np.int64) for s in (0, 1))
 
 
+def parities(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The parity bitmap of each set: bit b of PARITY_WORDS * 64 is the parity of the number of shingles that fall on b."""
+    full = np.flatnonzero(np.diff(offsets))
+    bit, word = np.uint64(1) << (hashes & np.uint64(63)), hashes >> np.uint64(6) & np.uint64(PARITY_WORDS - 1)
+    out = [np.zeros(len(offsets) - 1, np.uint64) for _ in range(PARITY_WORDS)]
+    for k, column in enumerate(out):
+        if len(full):
+            column[full] = np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), offsets[full])
+    return [x.view(np.int64) for x in out]
+
+
 def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - 20)).astype(np.int64)
 
@@ -105,25 +120,28 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percen
     return hashes[tv.ranges(offsets[:-1], lengths)], lengths, choice
 
 
+_SIGNATURE = [f"s{k}" for k in range(PARITY_WORDS)]
+
+
 def _survey(rows: DataFrame, n: int) -> DataFrame:
-    """Per document its set size and digest, and per task its share of the sketch, in one pass over the texts."""
+    """Per document its set size, digest and parity bitmap, and per task its share of the sketch, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["j", "id", "n", "d", "e", "block", "counts"]
+        names = ["j", "id", "n", "d", "e", *_SIGNATURE, "block", "counts"]
         for batch in batches:
             for at, texts in tv.slices(batch.column(2), PASS_BYTES):
                 hashes, offsets = shingle_sets(texts, n)
                 counts += np.bincount(_slot(hashes), minlength=SKETCH)
                 d, e = set_digests(hashes, offsets)
                 size = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), batch.column(1).slice(at, size), pa.array(np.diff(offsets)), pa.array(d), pa.array(e), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), batch.column(1).slice(at, size), pa.array(np.diff(offsets)), pa.array(d), pa.array(e), *map(pa.array, parities(hashes, offsets)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
         if counts.any():
             k = SKETCH // _BLOCK
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts.astype(np.uint32).reshape(k, _BLOCK)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none] * (5 + PARITY_WORDS) + [pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in counts.astype(np.uint32).reshape(k, _BLOCK)], pa.binary())], names=names)
 
-    return rows.select("j", "id", "text").mapInArrow(tv.released(run), "j long, id long, n long, d long, e long, block int, counts binary")
+    return rows.select("j", "id", "text").mapInArrow(tv.released(run), f"j long, id long, n long, d long, e long, {', '.join(f'{c} long' for c in _SIGNATURE)}, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -254,6 +272,12 @@ def _fits(n_x: Column, n_y: Column, percent: int) -> Column:
     return 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
 
 
+def _near(x: str, y: str, n_x: Column, n_y: Column, percent: int) -> Column:
+    """Whether the parity bitmaps of the sides x and y differ in no more bits than the sets of a linked pair do in shingles."""
+    differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in _SIGNATURE), F.lit(0))
+    return differ <= n_x + n_y - 2 * F.ceil(F.lit(percent) * (n_x + n_y) / F.lit(100.0 + percent) - 1e-9)
+
+
 def _early(x: str, y: str, percent: int) -> Column:
     """Whether a shared shingle stands early enough on both sides to be among a linked pair's first L.
 
@@ -269,7 +293,7 @@ def _early(x: str, y: str, percent: int) -> Column:
 def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """(j, id, n_shingles, lead) for ``rows`` (j, id, text): lead is the smallest j of the row's class."""
     survey = keys.stored(spark, _survey(rows, n))
-    light = survey.filter("block is null").select("j", "id", "n", "d", "e")
+    light = survey.filter("block is null").drop("block", "counts")
     levels = spark.sparkContext.broadcast(sketch_levels(_sketch(survey.filter("block is not null"))))
     nodes = light.filter("n > 0").groupBy("n", "d", "e").agg(F.min("j").alias("node"))
 
@@ -288,8 +312,11 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
 
     # First the document that shares most with each, of those that lead a shingle; which pairs are looked at here matters for speed alone.
     size, first_size = _size(F.col("q")), _size(F.col("m"))
-    met = shared.filter((F.col("j") != F.col("x")) & _fits(size, first_size, percent)).groupBy("x", F.col("j").alias("y")).agg(F.count("*").alias("c"), F.first(_needed(size, first_size, _extension(F.col("q")), _extension(F.col("m")), percent)).alias("need"))
-    star = met.filter("4 * c >= need").groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", "y")
+    met = shared.filter((F.col("j") != F.col("x")) & _fits(size, first_size, percent)).groupBy("x", F.col("j").alias("y")).agg(F.count("*").alias("c"), F.first(_needed(size, first_size, _extension(F.col("q")), _extension(F.col("m")), percent)).alias("need"), F.first(first_size).alias("n_x"), F.first(size).alias("n_y"))
+    met = met.filter("4 * c >= need")
+    for side in ("x", "y"):
+        met = met.join(light.select(F.col("j").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _SIGNATURE)), side)
+    star = met.filter(_near("x_", "y_", F.col("n_x"), F.col("n_y"), percent)).groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", "y")
     links = keys.stored(spark, _verify(spark, keys.stored(spark, star), rows, n, percent))
     classes = components(spark, links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
@@ -298,8 +325,9 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
     labelled = keys.stored(spark, labelled)
     open_ = labelled.groupBy("t").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low != high").select("t")
     across = labelled.join(open_, "t").select("t", "j", "r", size.alias("n"), _extension(F.col("q")).alias("l"), F.shiftright("q", _PLACE_BITS).alias("p"))
+    across = keys.stored(spark, across.join(light.select("j", *_SIGNATURE), "j"))
     x, y = across.alias("x"), across.alias("y")
-    rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _early("x", "y", percent))
+    rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _early("x", "y", percent) & _near("x.", "y.", F.col("x.n"), F.col("y.n"), percent))
     rest = rest.groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("x.l", "y.l")).alias("l")).filter("c >= l").select("x", "y")
     prefix = shared.groupBy("j").agg(F.collect_list("t").alias("ts"), F.first(size).alias("n"), F.first(_extension(F.col("q"))).alias("l"))
     for side in ("x", "y"):
@@ -310,7 +338,7 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
     if not more.isEmpty():
         classes = components(spark, classes.select(F.col("v").alias("a"), F.col("r").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
-    members = light.join(nodes, ["n", "d", "e"], "left").select("j", "id", "n", F.coalesce("node", "j").alias("node"))
+    members = light.select("j", "id", "n", "d", "e").join(nodes, ["n", "d", "e"], "left").select("j", "id", "n", F.coalesce("node", "j").alias("node"))
     found = members.join(classes.select(F.col("v").alias("node"), "r"), "node", "left")
     return found.select("j", "id", F.col("n").alias("n_shingles"), F.coalesce("r", "node").alias("lead"))
 

@@ -87,6 +87,16 @@ def test_drop_near_duplicates_keeps_columns_and_first_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} >= leads and kept.count() < len(docs)
 
 
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.zeros(0, np.uint64)] + [np.unique(rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for x in sets]
+    words = np.stack(op.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))).view(np.uint64)
+    for a in range(len(sets)):
+        for b in range(a):
+            assert np.bitwise_count(words[:, a] ^ words[:, b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
 def test_parts_of_a_hot_document_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(op, "PART_PAIRS", 2)
     docs = near_docs(5)
