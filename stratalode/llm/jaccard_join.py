@@ -11,7 +11,9 @@ document is verified against the one that shares most prefix shingles with it am
 shingles; classes follow; then all candidates whose ends are still in different classes are verified. A pair
 inside a class can add nothing, a pair across classes is never left out, so the classes are exact. Every document
 also has a parity bitmap of its whole set: two bitmaps differ in no more bits than their sets in shingles, so pairs
-whose bitmaps differ in more than a linked pair's sets can are dropped where they meet, and no link is lost.
+whose bitmaps differ in more than a linked pair's sets can are dropped where they meet, and no link is lost. Prefix
+shingles that no other prefix holds tell the same: another set cannot have them if its prefix reaches that far in the
+global order, so they count as missing from it.
 
 Verification moves the sorted shingle hashes of the documents that a pair asks for, not texts: those of ``y`` go to
 their pairs, those of ``x`` once to each of the parts that its pairs are cut into, so a document with very many
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import keys, repeats
@@ -101,7 +103,7 @@ def required(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(hashes: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix hashes, lengths, L) of every set."""
+    """(prefix tokens, lengths, L) of every set; a token is a shingle's place in the global order, its level and 58 bits of its hash."""
     n = np.diff(offsets)
     document = np.repeat(np.arange(len(n)), n)
     level = levels[_slot(hashes)]
@@ -117,7 +119,8 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, levels: np.ndarray, percen
         better = (total < best) & (extension <= np.maximum(required(n, percent), 1))
         best, choice = np.where(better, total, best), np.where(better, extension, choice)
     lengths = np.where(n > 0, np.minimum(base + choice, n), 0)
-    return hashes[tv.ranges(offsets[:-1], lengths)], lengths, choice
+    tokens = level.astype(np.uint64) << np.uint64(58) | hashes >> np.uint64(6)
+    return tokens[tv.ranges(offsets[:-1], lengths)], lengths, choice
 
 
 _SIGNATURE = [f"s{k}" for k in range(PARITY_WORDS)]
@@ -282,12 +285,15 @@ def _early(x: str, y: str, percent: int) -> Column:
     """Whether a shared shingle stands early enough on both sides to be among a linked pair's first L.
 
     A linked pair shares at least t = percent (n_x + n_y) / (100 + percent) shingles, so the k-th of them (from 0) has
-    at most n - t + k before it. Rare shingles come first, so sets with many of their own are not even joined.
+    at most n - t + k before it; and at most n - t shingles of either set are not in the other. Rare shingles come first, so sets with many of their own are not even joined.
     """
     n, l, p = ((F.col(f"{x}.{c}"), F.col(f"{y}.{c}")) for c in ("n", "l", "p"))
     least = F.ceil(F.lit(percent) * (n[0] + n[1]) / F.lit(100.0 + percent) - 1e-9)
     spare = F.least(*l) - 1 - least
-    return (p[0] <= n[0] + spare) & (p[1] <= n[1] + spare)
+    own = [F.when(F.col(f"{a}.last") <= F.col(f"{b}.last"), F.col(f"{a}.most")).otherwise(F.col(f"{a}.u")) for a, b in ((x, y), (y, x))]
+    # Where one match is enough, a pair that shares the shingle before this one as well has been met there.
+    again = (F.least(*l) == 1) & F.coalesce(F.col(f"{x}.prior") == F.col(f"{y}.prior"), F.lit(False))
+    return ~again & (p[0] <= n[0] + spare) & (p[1] <= n[1] + spare) & (own[0] <= n[0] - least) & (own[1] <= n[1] - least)
 
 
 def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
@@ -322,10 +328,15 @@ def jaccard_classes(spark: SparkSession, rows: DataFrame, *, n: int = 4, percent
 
     # Then every candidate pair whose ends are in different classes.
     labelled = shared.join(classes.select(F.col("v").alias("j"), "r"), "j", "left").select("t", "j", "q", F.coalesce("r", "j").alias("r"))
-    labelled = keys.stored(spark, labelled)
+    # u: the document's shingles before this one that no other prefix has; at the last shared shingle, "last", there are "most".
+    by = Window.partitionBy("j").orderBy("q", "t")
+    labelled = labelled.withColumn("u", F.shiftright("q", _PLACE_BITS) - F.row_number().over(by) + 1)
+    whole = Window.partitionBy("j")
+    labelled = keys.stored(spark, labelled.withColumns({"last": F.max("t").over(whole), "most": F.max("u").over(whole)}))
     open_ = labelled.groupBy("t").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low != high").select("t")
-    across = labelled.join(open_, "t").select("t", "j", "r", size.alias("n"), _extension(F.col("q")).alias("l"), F.shiftright("q", _PLACE_BITS).alias("p"))
-    across = keys.stored(spark, across.join(light.select("j", *_SIGNATURE), "j"))
+    across = labelled.join(open_, "t").select("t", "j", "r", size.alias("n"), _extension(F.col("q")).alias("l"), F.shiftright("q", _PLACE_BITS).alias("p"), "u", "last", "most")
+    across = across.join(light.select("j", *_SIGNATURE), "j").withColumn("prior", F.lag("t").over(Window.partitionBy("j").orderBy("p", "t")))
+    across = keys.stored(spark, across)
     x, y = across.alias("x"), across.alias("y")
     rest = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.r") < F.col("y.r")) & _early("x", "y", percent) & _near("x.", "y.", F.col("x.n"), F.col("y.n"), percent))
     rest = rest.groupBy(F.col("x.j").alias("x"), F.col("y.j").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("x.l", "y.l")).alias("l")).filter("c >= l").select("x", "y")

@@ -30,6 +30,12 @@ def stored(spark: SparkSession, frame: DataFrame, at: str | None = None) -> Data
     return spark.read.schema(frame.schema).parquet(at)
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Remove a stored intermediate that no result reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(frame: DataFrame, name: str = "_j") -> str:
     """A column name that ``frame`` does not have, whatever the case."""
     taken = {c.lower() for c in frame.columns}
@@ -38,24 +44,26 @@ def free_name(frame: DataFrame, name: str = "_j") -> str:
     return name
 
 
-def with_key(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str, key: str = "j") -> DataFrame:
+def with_key(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str, key: str = "j", at: str | None = None) -> DataFrame:
     """``documents`` with a unique long ``key`` in the order of (id, text), nulls last.
 
     Where ids are unique and not null, the key is the id. Otherwise rows are numbered in order and stored, so
-    equal rows are told apart and a repeated row counts as a later one.
+    equal rows are told apart and a repeated row counts as a later one. Ranges are cut by id and the first characters
+    of the text, which is all that the driver sees a sample of.
     """
     number = F.col(id_col).cast("long")
     odd = documents.select(number.alias("id")).groupBy("id").count().filter("count > 1 or id is null")
     if odd.isEmpty():
         return documents.withColumn(key, number)
     order = [F.asc_nulls_last(id_col), F.asc_nulls_last(text_col)]
-    return stored(spark, documents.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+    lead = F.asc_nulls_last(F.substring(F.col(text_col).cast("string"), 1, 32))
+    return stored(spark, documents.repartitionByRange(order[0], lead).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), at)
 
 
-def keyed(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(spark: SparkSession, documents: DataFrame, id_col: str, text_col: str, at: str | None = None) -> DataFrame:
     """(j, id, text): the key of :func:`with_key`, and text with null as empty."""
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return with_key(spark, rows, "id", "text").select("j", "id", "text")
+    return with_key(spark, rows, "id", "text", at=at).select("j", "id", "text")
 
 
 def copies(rows: DataFrame) -> DataFrame:

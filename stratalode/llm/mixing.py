@@ -8,8 +8,8 @@ A source's documents lie in blocks by a hash of their key. Each pass over a sour
 documents in each, by hashes of seed and pass; the last pass stops where the source's budget is met. ``mix_key``, the
 place in the source's stream over its budget, orders the whole mixture so that every stretch of it has the weights.
 
-Windows run over blocks of a source (as many as its tokens over ``block_tokens``) and over the documents of a block;
-no window holds a source's documents.
+Blocks hold a 4096th of all tokens, or ``block_tokens``. Windows run over the blocks of a source and over the documents
+of a block; the sources' table is broadcast up to a size, so no task is dealt a source's documents.
 
 Defined cases: null source is a source of its own; null or empty text counts as one token, so it has a place; rows of
 equal id and text are rows of their own; an empty table gives no rows. Other columns are ignored, and kept by ``mix``.
@@ -27,6 +27,10 @@ from .quality_rules import _GAP
 
 #: Sources are a list that the driver holds; more than this is an error, not a cut.
 MOST_SOURCES = 1_000_000
+#: A table of at most so many sources goes to every task, a few MB; a larger one is joined by a shuffle.
+BROADCAST_SOURCES = 20_000
+#: Blocks that all tokens are cut into, or more where a block would exceed its greatest size.
+BLOCKS, MOST_BLOCK_TOKENS = 4096, 4_000_000
 NO_SOURCE = "\0"
 
 
@@ -78,7 +82,7 @@ def plan(tokens: dict[str, int], **target: float) -> tuple[float, dict[str, floa
     return exponent, dict(zip(names, weights, strict=True)), {n: max(tokens[n], round(w * budget)) for n, w in zip(names, weights, strict=True)}
 
 
-def placements(spark: SparkSession, documents: DataFrame, *, key_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_tokens: int = 4_000_000, seed: int = 17, **target: float) -> DataFrame:
+def placements(spark: SparkSession, documents: DataFrame, *, key_col: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_tokens: int | None = None, seed: int = 17, **target: float) -> DataFrame:
     """(key, id, source, n_tokens, weight, epoch, block, position, mix_key), one row for each time a document is used."""
     words = F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _GAP), lambda w: w != ""))
     light = documents.select(F.col(key_col).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), F.greatest(words, F.lit(1)).cast("long").alias("n_tokens"))
@@ -88,11 +92,12 @@ def placements(spark: SparkSession, documents: DataFrame, *, key_col: str, id_co
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     tokens = {r["source"]: r["tokens"] for r in rows}
+    block_tokens = block_tokens or max(1, min(MOST_BLOCK_TOKENS, sum(tokens.values()) // BLOCKS))
     _, weights, budgets = plan(tokens, **target) if tokens else (1.0, {}, {})
     table = spark.createDataFrame(
         [(n, weights[n], budgets[n], tokens[n], -(-tokens[n] // block_tokens), -(-budgets[n] // tokens[n])) for n in sorted(tokens)], "source string, weight double, budget long, tokens long, blocks long, epochs long"
     )
-    homes = light.join(table, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
+    homes = light.join(F.broadcast(table) if len(tokens) <= BROADCAST_SOURCES else table, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks")))
     sizes = homes.groupBy("source", "block", "epochs", "tokens", "budget").agg(F.sum("n_tokens").alias("size"))
     passes = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)

@@ -363,16 +363,20 @@ def write_store(spark: SparkSession, documents: DataFrame, path: str, spec: str,
             yield batch.filter(pa.array(new, pa.bool_()))
 
     names = ["kind", "key", "n", "j", "id", "data", "digests", "lengths", "root"]
-    encoded = keys.keyed(spark, documents, id_col, text_col).select("j", "id", "text").mapInArrow(tv.released(encode), _PIECE)
+    numbered = keys.shared_dir(spark)
+    encoded = keys.keyed(spark, documents, id_col, text_col, numbered).select("j", "id", "text").mapInArrow(tv.released(encode), _PIECE)
     encoded.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, _PIECE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/pieces")
+    keys.discard(spark, numbered)
 
     recipes = spark.read.schema(_PIECE).parquet(f"{path}/pieces").filter("kind = 'recipe'").select("j", "id", F.col("n").alias("n_tokens"), "digests", "lengths", "root")
-    parts = keys.stored(spark, recipes.repartitionByRange("j").sortWithinPartitions("j").withColumn("part", F.spark_partition_id()))
+    ordered = keys.shared_dir(spark)
+    parts = keys.stored(spark, recipes.repartitionByRange("j").sortWithinPartitions("j").withColumn("part", F.spark_partition_id()), ordered)
     sums = parts.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = sums.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a part
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = parts.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("base") + F.col("inside"))
     placed.select("j", "id", "start", "n_tokens", "digests", "lengths", "root", "part").write.parquet(f"{path}/recipes")
+    keys.discard(spark, ordered)
     _manifests(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     _store_root(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")).write.parquet(f"{path}/store")
 
