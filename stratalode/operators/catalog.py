@@ -127,3 +127,39 @@ def pending_groups(groups: DataFrame, pending: DataFrame) -> DataFrame:
     """All groups with their pending uploads; a group that only has uploads is one too."""
     waiting = pending.groupBy("group").agg(F.array_sort(F.collect_list("name")).alias("pending"))
     return groups.join(waiting, "group", "full_outer").withColumn("pending", F.coalesce("pending", F.array().cast("array<string>")))
+
+
+def with_folder(documents: DataFrame, files: DataFrame, *, key: str = "id") -> DataFrame:
+    """``documents`` with the folder that holds them (null if none) and the group that this makes; at most one row a document."""
+    held = files.filter("document_id is not null").groupBy(F.col("document_id").alias(key)).agg(F.min("folder_id").alias("folder_id"))
+    return documents.join(held, key, "left").withColumn("group", group_label(F.col("folder_id"), F.col("origin")))
+
+
+def malformed_counts(files: DataFrame) -> DataFrame:
+    """Files of each folder that could not be read, 0 where there are none."""
+    return files.groupBy("folder_id").agg(F.count_if(F.col("state") == "malformed").alias("malformed"))
+
+
+def not_shown(rows: DataFrame, shown: DataFrame, *, key: str = "id") -> DataFrame:
+    """Rows of a further page without those that were shown already; a repeated key counts once."""
+    return rows.dropDuplicates([key]).join(shown.select(key).distinct(), key, "left_anti")
+
+
+def pruned(selection: DataFrame, existing: DataFrame, *, whole: bool, key: str = "id") -> DataFrame:
+    """A selection without ids that are gone; left as it is where the listing is not the whole library."""
+    return selection.join(existing.select(key).distinct(), key, "left_semi") if whole else selection
+
+
+def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.agg(*[F.count_distinct(c).alias(c) for c in columns])
+
+
+def download_progress(files: DataFrame, *, by: str) -> DataFrame:
+    """Bytes done and in all over the files of a download, and the share done; unknown sizes count as what is done."""
+    total = F.sum(F.greatest("done", F.coalesce("total", "done")))
+    return files.groupBy(by).agg(F.sum("done").alias("done"), total.alias("total")).withColumn("share", F.when(F.col("total") > 0, F.col("done") / F.col("total")).otherwise(0.0))
+
+
+def model_names(names: DataFrame, *, name: str = "name") -> DataFrame:
+    """Names without repeats in the order of a dictionary: case decides only between equals, lower before upper."""
+    return names.select(name).distinct().orderBy(F.lower(name), F.desc(name))

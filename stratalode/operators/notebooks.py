@@ -59,24 +59,31 @@ def history(messages: DataFrame, *, by: str, order: str, last: int = 20) -> Data
     return messages.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= last).filter(F.col("role").isin("user", "assistant")).drop("_n")
 
 
+def message_size(messages: DataFrame) -> Column:
+    """Characters of a message: its content, and its reasoning and tool calls (JSON text) where the table has them."""
+    parts = [c for c in ("content", "reasoning", "tool_calls") if c in messages.columns]
+    return sum((F.char_length(F.coalesce(c, F.lit(""))) for c in parts), F.lit(0))
+
+
 def message_sizes(messages: DataFrame, *, by: str) -> DataFrame:
-    return messages.groupBy(by).agg(F.sum(F.char_length(F.coalesce("content", F.lit("")))).alias("chars"))
+    return messages.groupBy(by).agg(F.sum(message_size(messages)).alias("chars"))
 
 
-#: What a trimmed tool result says, and results that stay: the last two and short ones.
-NOTE, KEEP_LAST, KEEP_UNDER = "Older tool result trimmed to save room. Run the tool again for its details.", 2, 320
+# What a trimmed tool result says, and results that stay: the last two and short ones.
+NOTE, KEEP_LAST, KEEP_UNDER = "Older tool result trimmed to fit the context window. Re-run the tool if you need the details again.", 2, 320
 
 
 def compacted(messages: DataFrame, *, by: str, order: str, budget: int, exempt: tuple[str, ...] = ()) -> DataFrame:
     """``messages`` with the oldest tool results replaced by a note until the session fits its budget."""
-    size = F.char_length(F.coalesce("content", F.lit("")))
+    size = message_size(messages)
+    length = F.char_length(F.coalesce("content", F.lit("")))
     query = F.get_json_object("content", "$.query")
     stub = F.to_json(F.struct(F.lit(True).alias("compacted"), query.alias("query"), F.lit(NOTE).alias("note")))
     tool = (F.col("role") == "tool") & ~F.coalesce(F.col("name"), F.lit("")).isin(*exempt, "\0")
     later = F.sum(tool.cast("int")).over(Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
     rows = messages.withColumns({"_size": size, "_stub": stub, "_late": later, "_tool": tool})
-    able = F.col("_tool") & (F.col("_late") > KEEP_LAST) & (F.col("_size") > KEEP_UNDER)
-    saving = F.when(able, F.col("_size") - F.char_length("_stub")).otherwise(0)
+    able = F.col("_tool") & (F.col("_late") > KEEP_LAST) & (length > KEEP_UNDER)
+    saving = F.when(able, length - F.char_length("_stub")).otherwise(0)
     rows = rows.withColumns({"_able": able, "_saving": saving, "_excess": F.sum("_size").over(Window.partitionBy(by)) - budget})
     before = F.coalesce(F.sum("_saving").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_before", before).withColumn("content", F.when(F.col("_able") & (F.col("_before") < F.col("_excess")), F.col("_stub")).otherwise(F.col("content"))).select(*messages.columns)
@@ -107,8 +114,9 @@ def goal_counts(rows: DataFrame) -> DataFrame:
 def imported_pages(files: DataFrame, *, most: int = 100) -> DataFrame:
     """(sort_order, title, content) of files (name, content) in natural order; blank or too many files are an error row."""
     body = F.when(F.lower(F.col("name")).endswith(".txt"), T.hard_breaks(F.col("content"))).otherwise(F.replace(T.without_byte_order_mark(F.col("content")), F.lit("\r\n"), F.lit("\n")))
-    # At most a hundred files make a notebook: one bounded window.
-    rows = files.limit(most + 1).withColumn("sort_order", F.row_number().over(Window.orderBy(T.natural_key(F.col("name")), "name")) - 1)
+    # At most a hundred files make a notebook: the first of them in order, then one bounded window.
+    order = [T.natural_key(F.col("name")), F.col("name")]
+    rows = files.orderBy(*order).limit(most + 1).withColumn("sort_order", F.row_number().over(Window.orderBy(*order)) - 1)
     error = F.when(F.col("sort_order") >= most, f"more than {most} pages").when(T.trimmed(body) == "", "no text")
     title = T.trimmed(T.title_of(F.col("name")))
     return rows.select("sort_order", F.when(title == "", "Imported page").otherwise(title).alias("title"), body.alias("content"), error.alias("error"))
@@ -177,3 +185,10 @@ def moved_page(pages: DataFrame, page: str, target: str) -> DataFrame:
     rows = pages.crossJoin(F.broadcast(facts))
     title = F.when(mine & F.array_contains("_titles", F.lower("title")), free).otherwise(F.col("title"))
     return rows.withColumns({"title": title, "sort_order": F.when(mine, F.col("_o")).otherwise(F.col("sort_order")).cast("int"), "notebook_id": F.when(mine, F.lit(target)).otherwise(F.col("notebook_id"))}).select(*pages.columns)
+
+
+def notebook_context(sources: DataFrame, chunks: DataFrame, documents: DataFrame, notebook, *, most: int = 100) -> DataFrame:
+    """The chunks that a notebook cites (notebook_id, chunk_id, sort_order), in order, with their document's title; of active documents only."""
+    cited = sources.filter(F.col("notebook_id") == F.lit(notebook)).orderBy("sort_order", "chunk_id").limit(most)
+    titles = documents.filter("active").select(F.col("id").alias("document_id"), "title")
+    return F.broadcast(cited).join(chunks, "chunk_id").join(titles, "document_id")

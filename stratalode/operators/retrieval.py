@@ -91,6 +91,11 @@ def retrieve(semantic: DataFrame, lexical: DataFrame, chunks: DataFrame, query:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("position", "src")
 
 
+def without_score(matches: DataFrame) -> DataFrame:
+    """Matches as callers see them; the score only ordered them."""
+    return matches.drop("score")
+
+
 def search_arguments(args: dict, *, cap: int = 20, default: int = 5) -> dict:
     """Checked arguments of the search tool: query of at most 2,000 characters, known mode, bounded number of results."""
     query = args.get("query")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Extensions that can be ingested; fixed values.
-EXTENSIONS = tuple("pdf docx pptx xlsx csv txt md markdown wav mp3 m4a flac ogg opus aac wma webm mp4".split())
+EXTENSIONS = tuple("pdf docx pptx xlsx csv txt md markdown aac aif aiff flac m4a mp3 oga ogg opus wav webm wma".split())
 
 
 def settled(state: Column, document: Column, same: Column) -> Column:

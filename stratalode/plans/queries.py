@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +11,7 @@ from ..operators import autotag as tagging
 from ..operators import catalog, chunking, lexical, notebooks, retrieval, semantic, speakers, sync, transcripts
 from ..streaming.maintenance import log_tail
 from . import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query
 
 #: Documents as the engine sees them, in SQL.
 _DOCS = """d AS (SELECT doc_id, concat(source, '-', lang, '-', doc_id) AS title, concat('documents/', doc_id, '.txt') AS source_path,
@@ -90,18 +75,10 @@ def bm25_stemmed_topk(spark, sf_dir):
     return lexical.ranked(found, F.desc("score"), "chunk_id").select("rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM documents),
-p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
-SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term HAVING count(*) > 5""")
-def term_statistics(spark, sf_dir):
-    rows = lexical.postings(A.chunks(spark, sf_dir))["postings"]
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("df > 5")
-
-
 @query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM p GROUP BY term""")
-def term_statistics_all(spark, sf_dir):
+def term_statistics(spark, sf_dir):
     """Statistics of every term, also of those in a single document."""
     rows = lexical.postings(A.chunks(spark, sf_dir))["postings"]
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
@@ -145,14 +122,8 @@ def confidence_filter(spark, sf_dir):
     return lexical.confident(found, "bm25", "medium").select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations QUALIFY (conv_id * 1000 + turn) % 3 = 0""")
-def chunk_positions(spark, sf_dir):
-    placed = retrieval.positions(A.turns(spark, sf_dir), document="session_id", order=("turn",))
-    return placed.filter("id % 3 = 0").select("id", F.col("position").cast("long").alias("position"), "total_chunks")
-
-
 @query("""SELECT conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations""")
-def chunk_positions_all(spark, sf_dir):
+def chunk_positions(spark, sf_dir):
     """Positions of every turn, not only of asked ids."""
     placed = retrieval.positions(A.turns(spark, sf_dir), document="session_id", order=("turn",))
     return placed.select("id", F.col("position").cast("long").alias("position"), "total_chunks")
@@ -288,18 +259,10 @@ def history_tail(spark, sf_dir):
 _WS = "[ \\t\\n\\r\\x0b\\x0c]+"
 
 
-@query(f"""WITH c AS (SELECT doc_id, source, concat(source, '-', lang, '-', doc_id) AS title, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM documents WHERE doc_id % 10 < 3),
-l AS (SELECT source, doc_id, concat('- ', CASE WHEN length(t) <= 1200 THEN t ELSE concat(rtrim(substr(t, 1, 1200)), '...') END, ' (source: ', title, ')') AS line FROM c)
-SELECT source, sha256(concat('Relevant context:', chr(10), string_agg(line, chr(10) ORDER BY doc_id))) AS digest, count(*)::INT AS n_matches FROM l GROUP BY source""")
-def context_block(spark, sf_dir):
-    rows = A.documents(spark, sf_dir).filter("doc_id % 10 < 3").select("source", "title", "source_path", F.col("text").alias("content"), F.col("doc_id").alias("rank"))
-    return retrieval.context_block(rows, by=["source"]).select("source", F.sha2("context_block", 256).alias("digest"), "n_matches")
-
-
 @query(f"""WITH c AS (SELECT source, doc_id, doc_id // 100 AS part, concat(source, '-', lang, '-', doc_id) AS title, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS t FROM documents),
 l AS (SELECT source, part, doc_id, concat('- ', CASE WHEN length(t) <= 1200 THEN t ELSE concat(rtrim(substr(t, 1, 1200)), '...') END, ' (source: ', title, ')') AS line FROM c)
 SELECT source, part, sha256(concat('Relevant context:', chr(10), string_agg(line, chr(10) ORDER BY doc_id))) AS digest, count(*)::INT AS n_matches FROM l GROUP BY source, part""")
-def context_block_all(spark, sf_dir):
+def context_block(spark, sf_dir):
     """Every document is a match; a block holds the documents of a source whose ids share all but two digits, so it stays small on any table."""
     title = F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string"))
     rows = A.table(spark, sf_dir, "documents").select("source", F.expr("doc_id div 100").alias("part"), title.alias("title"), F.lit(None).cast("string").alias("source_path"), F.col("text").alias("content"), F.col("doc_id").alias("rank"))
@@ -440,3 +403,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk(spark, sf_dir)
 
 
+from . import function_queries, operator_queries  # noqa: E402, F401  (they register themselves)

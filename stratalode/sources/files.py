@@ -17,7 +17,7 @@ from ..operators.chunking import parse_csv, table_pages
 #: Extension to source type; fixed values.
 TYPES = {
     "pdf": "PDF", "docx": "DOCX", "pptx": "PPTX", "xlsx": "XLSX", "csv": "CSV", "txt": "TEXT", "md": "TEXT", "markdown": "TEXT",
-    "wav": "AUDIO", "mp3": "AUDIO", "m4a": "AUDIO", "flac": "AUDIO", "ogg": "AUDIO", "opus": "AUDIO", "aac": "AUDIO", "wma": "AUDIO", "webm": "AUDIO", "mp4": "AUDIO",
+    "aac": "AUDIO", "aif": "AUDIO", "aiff": "AUDIO", "flac": "AUDIO", "m4a": "AUDIO", "mp3": "AUDIO", "oga": "AUDIO", "ogg": "AUDIO", "opus": "AUDIO", "wav": "AUDIO", "webm": "AUDIO", "wma": "AUDIO",
 }
 AUDIO_BYTES, SHEET_CELLS = 100 * 1024 * 1024, 200_000
 _PAGES = "source string, chunk_type string, page_index int, content string"
