@@ -81,10 +81,34 @@ def like_escaped(c: Column) -> Column:
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def folded(c: Column) -> Column:
+    """Lower case, Latin-1 marks removed."""
+    return F.translate(F.lower(c), ACCENTED, PLAIN)
+
+
 def index_tokens(c: Column) -> Column:
-    """Array of index terms: lower case, Latin-1 marks removed, runs of letters and digits."""
-    folded = F.translate(F.lower(c), ACCENTED, PLAIN)
-    return F.filter(F.split(folded, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    """Array of index terms: runs of letters and digits of the folded text."""
+    return F.array_remove(F.split(folded(c), "[^\\p{L}\\p{N}]+"), "")
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def term_counts(terms: Column) -> Column:
+    """Array of terms as (term, tf), each term once, in order."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(heads, lambda h: F.transform(h, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(h, k + 1), F.size(s)) - at).cast("long").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, bound(F.array_sort(terms), runs))
+
+
+def term_occurrences(folded: Column, term: str) -> Column:
+    """How often an index term occurs in folded text, as a whole run of letters and digits."""
+    return F.regexp_count(folded, F.lit(f"{term}(?<![\\p{{L}}\\p{{N}}]{term})(?![\\p{{L}}\\p{{N}}])"))
 
 
 def query_terms(query: str) -> list[str]:

@@ -51,13 +51,17 @@ def bm25_scores(chunks: DataFrame, query: str, *, id_col: str = "chunk_id", cont
     if not wanted:
         return chunks.withColumn("score", F.lit(0.0)).limit(0)
     terms = sorted(wanted)
-    counted = chunks.withColumn("_t", T.index_tokens(F.col(content_col))).withColumn("_dl", F.size("_t"))
     if stemmed:
+        counted = chunks.withColumn("_t", T.index_tokens(F.col(content_col))).withColumn("_dl", F.size("_t"))
         # Only words that can have one of the stems are stemmed: a stem keeps the first two letters.
         heads = sorted({t[:2] for t in terms})
         counted = counted.withColumn("_t", stems(F.filter("_t", lambda w: F.substring(w, 1, 2).isin(heads))))
-    equal = lambda t: lambda w: w == t  # noqa: E731  (a second parameter would be the index)
-    tf = {f"_tf{i}": F.size(F.filter("_t", equal(t))) for i, t in enumerate(terms)}
+        equal = lambda t: lambda w: w == t  # noqa: E731  (a second parameter would be the index)
+        tf = {f"_tf{i}": F.size(F.filter("_t", equal(t))) for i, t in enumerate(terms)}
+    else:
+        # Terms are counted in the text; no array of its words is made.
+        counted = chunks.withColumn("_t", T.folded(F.col(content_col))).withColumn("_dl", F.regexp_count("_t", F.lit("[\\p{L}\\p{N}]+")))
+        tf = {f"_tf{i}": T.term_occurrences(F.col("_t"), t) for i, t in enumerate(terms)}
     counted = counted.withColumns(tf).drop("_t")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"_df{i}") for i, c in enumerate(tf)])
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_dl") / F.col("_avg"))
@@ -106,7 +110,7 @@ def postings(chunks: DataFrame, *, id_col: str = "chunk_id", content_col: str =
     """
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), T.index_tokens(F.col(content_col)).alias("t"))
     lengths = tokens.select("chunk_id", F.size("t").alias("dl"))
-    rows = tokens.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    rows = tokens.select("chunk_id", F.inline(T.term_counts(F.col("t"))))  # counted where the text is, before any shuffle
     if stemmed:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scanned table that lies in fewer splits than there are cores, dealt over them; a table of many splits stays where it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    plan = frame._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.toString() or plan.execute().getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows of documents left-joined with labels; carries doc_id, text and language for the operators."""
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     path = F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.join(labels, "doc_id", "left").select(
         "doc_id", T.document_id(path).alias("id"), F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string")).alias("title"), path.alias("source_path"),

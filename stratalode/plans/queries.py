@@ -308,7 +308,7 @@ def notebook_search(spark, sf_dir):
 def sentence_chunks(spark, sf_dir):
     d = A.documents(spark, sf_dir)
     pages = d.select(F.col("doc_id").alias("document_id"), F.col("source_path").alias("source"), F.lit("TEXT").alias("chunk_type"), F.lit(0).alias("page_index"), F.col("text").alias("content"))
-    return chunking.assembled(chunking.chunk_pages(pages)).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_id", F.char_length("content").alias("chars"))
+    return chunking.assembled_pages(pages).select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_id", F.char_length("content").alias("chars"))
 
 
 @query()
