@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import keys
 from . import textvec as tv
 
 #: Benchmark text in one broadcast block.
@@ -241,7 +242,7 @@ def remove_contaminated(spark: SparkSession, documents: DataFrame, benchmark: Da
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = keys.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(spark, documents, benchmark, window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import keys
+
 #: What separates words, as a regular expression and as characters.
 _GAP, _GAPS = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -127,7 +129,7 @@ def keep_good(documents: DataFrame, *, text_col: str = "text", rules=RULES) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return quality_rules(keys.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumnRenamed("id", "doc_id")
 
 
 _QUOTED = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
