@@ -35,3 +35,31 @@ def test_stages_match_brute_force(spark, sf_dir):
 
 def test_stage_names():
     assert len(pipeline.STAGES) == 5 and pipeline.ORACLE_SQL is None
+
+
+GOOD = "the quick brown fox of the old house was seen by a man that walked to it with his dog and sat on the grass until the rain was over for good"
+
+
+def odd_table(spark):
+    long = " ".join(f"the word{i} of and a" for i in range(30_000))
+    texts = [(1, GOOD, "a"), (1, GOOD, "a"), (2, GOOD + " again", None), (3, None, "a"), (4, "", "b"), (5, " \n ", "b"), (6, long, "b"), (None, GOOD + " and so the story of the fox goes on for a while in this very text", "b"), (7, "###" * 50, "b")]
+    return spark.createDataFrame([(d, t, "en", s, len(t or ""), "mine", 5) for d, t, s in texts], "doc_id long, text string, lang string, source string, n_chars int, _j string, j int")
+
+
+def test_every_stage_handles_odd_rows(spark, sf_dir):
+    docs = odd_table(spark)
+    for name, stage in pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            got = stage(spark, rows, sf_dir)
+            if name != "token_ids":
+                assert got.columns == docs.columns, name
+                assert {(r["_j"], r["j"]) for r in got.collect()} <= {("mine", 5)}, name
+    kept = pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert {r["doc_id"] for r in kept.collect()} <= {1, 2, 6, None}
+    one = pipeline.STAGES[1][1](spark, docs, sf_dir)
+    assert sorted((r["doc_id"] or 0) for r in one.collect()).count(1) == 1 and {3, 4, 5, 6, 7} <= {r["doc_id"] for r in one.collect()}
+    assert pipeline.STAGES[2][1](spark, docs, sf_dir).count() == docs.count()
+    mixed = pipeline.STAGES[3][1](spark, docs, sf_dir)
+    assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in docs.collect()} and mixed.count() >= docs.count()
+    assert pipeline.STAGES[4][1](spark, docs, sf_dir).count() == docs.count()
+    assert pipeline.STAGES[4][1](spark, docs.limit(0), sf_dir).count() == 0
