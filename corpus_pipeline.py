@@ -9,6 +9,20 @@ returns the columns of ``documents``.
 - ``mixing`` repeats documents of small sources: tempered weights, no source passed more than twice, every
   document used at least once, so a row may come twice.
 - ``token_ids`` writes the ids of what is left to a content-addressed store and returns what reading it gives.
+
+Defined cases, for all five stages: an empty table gives an empty table; columns beside those of ``documents`` stay,
+whatever their names, until ``token_ids``; a text of any length is read whole.
+
+- ``quality_rules``: null and empty texts have no words and go; repeated rows are judged alike, so all stay or all go;
+  ties cannot arise, a rule's bound itself passes.
+- ``near_duplicates``: null, empty and blank texts have no shingles and stay; of repeated rows, and of a class, the row
+  of the smallest (id, text) stays, null ids last; a similarity of exactly 0.8 links.
+- ``decontaminate``: null and empty texts have no words and stay; null items of the benchmark hit nothing; repeated
+  rows go or stay alike; one occurrence of a window is enough.
+- ``mixing``: null and empty texts count as one token and stay; a null source is a source of its own; repeated rows are
+  rows of their own; ties in the order of blocks are broken by block, of documents by key.
+- ``token_ids``: null and empty texts are the end id alone; rows of one id come in the order of their texts, repeated
+  rows are documents of their own with the same chunks; null ids come last.
 """
 
 from __future__ import annotations
