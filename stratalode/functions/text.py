@@ -13,11 +13,11 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
 def right_trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+$", "")
+    return F.regexp_replace(c, f"{SPACE}+\\z", "")
 
 
 def collapsed(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .semantic import bounded
 
 PAGE_LIMIT = 200
 SORTS = ("title", "title-desc", "oldest", "newest", "most-chunks", "least-chunks")
@@ -66,7 +67,7 @@ def chunk_counts(chunks: DataFrame, *, key: str) -> DataFrame:
 
 def listed(rows: DataFrame, tags: DataFrame, chunks: DataFrame | None = None, *, key: str = "id") -> DataFrame:
     """A page with its documents' tags and chunk counts; the page is at most PAGE_LIMIT rows and goes to the other sides."""
-    small = F.broadcast(rows.select(key))
+    small = bounded(rows.select(key))
     out = rows.join(tag_lists(tags.join(small, key, "left_semi"), key=key), key, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     if chunks is not None:
         out = out.join(chunk_counts(chunks.join(small, key, "left_semi"), key=key), key, "left").fillna(0, ["chunk_count"])

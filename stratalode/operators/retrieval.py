@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lexical import confident
+from .semantic import bounded
 
 CONTEXT_LIMIT, PREVIEW_LIMIT = 1200, 200
 MODES = ("bm25", "semantic", "hybrid")
@@ -77,15 +78,16 @@ def source_cards(matches: DataFrame, placed: DataFrame | None = None, *, id_col:
 
 
 def retrieve(semantic: DataFrame, lexical: DataFrame, chunks: DataFrame, query: str, *, mode: str = "hybrid", confidence: str = "low", top_k: int = 5, relevance: Column | None = None) -> DataFrame:
-    """Matches of a mode, filtered by confidence, with position; ``semantic`` and ``lexical`` are ranked lists of twice ``top_k``."""
+    """Matches of a mode, filtered by confidence, with position; of the ranked lists ``semantic`` and ``lexical`` the first twice ``top_k`` count."""
+    semantic, lexical = (x.orderBy("rank").limit(2 * top_k) for x in (semantic, lexical))
     if mode not in MODES:
         mode = "hybrid"
     if mode == "hybrid":
-        rows = chunks.join(F.broadcast(candidates(semantic, lexical)), "chunk_id")
+        rows = chunks.join(bounded(candidates(semantic, lexical)), "chunk_id")
         matches = rerank(rows, token_overlap(query, F.col("content")) if relevance is None else relevance, top_k=top_k)
     else:
         picked = (semantic if mode == "semantic" else lexical).filter(F.col("rank") <= top_k).select("chunk_id", "score", F.col("rank").alias("position"))
-        matches = chunks.join(F.broadcast(picked), "chunk_id")
+        matches = chunks.join(bounded(picked), "chunk_id")
     order = [F.desc("score"), "position"]
     kept = confident(matches, mode, confidence)
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("position", "src")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "stand-in/64"
+#: Rows that a plan may prove at most for a side to be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def searchable(chunks: DataFrame, model: str) -> DataFrame:
@@ -64,9 +66,15 @@ def search_semantic(chunks: DataFrame, query: list[float], *, model: str = MODEL
     return top_vectors(found, query, top_k=top_k, id_col=id_col, extra=("document_id",))
 
 
+def bounded(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame`` with a broadcast hint if its plan proves that it has at most ``most`` rows, else as it is."""
+    rows = frame._jdf.queryExecution().optimizedPlan().maxRows()
+    return F.broadcast(frame) if rows.isDefined() and rows.get() <= most else frame
+
+
 def with_content(winners: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Late materialisation: contents of at most k winners, which are small enough to broadcast by their own limit."""
-    return chunks.join(F.broadcast(winners), id_col)
+    """Late materialisation: contents of the winners, which are broadcast where their own limit bounds them."""
+    return chunks.join(bounded(winners), id_col)
 
 
 def reembedded(chunks: DataFrame, fresh: DataFrame, model: str, *, id_col: str = "chunk_id") -> DataFrame:

@@ -214,3 +214,22 @@ def test_reembedding_and_listing(spark):
     assert tuple(semantic.index_counts(got, "new").first()) == (1, 1)
     docs = spark.createDataFrame([(1, "b", "p", True), (2, "A", "p", True), (3, "c", "p", False)], "id int, title string, source_path string, active boolean")
     assert [(r["title"], r["total"]) for r in catalog.corpus_listing(docs, limit=1, offset=1).collect()] == [("b", 2)]
+
+
+def test_white_space_is_one_set(spark):
+    from stratalode.functions import text as T
+
+    probe = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF and c not in (9, 32))
+    assert "".join(chunking._WORD.findall(probe)) == "".join(c for c in probe if c not in chunking.WHITE)
+    texts = [f"a{c}b. {c}" for c in [*chunking.WHITE, "\x1c", "\x85", "​"]]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", "t", T.normalized("t").alias("n"), T.cleaned_page("t").alias("c"), T.word_count("t").alias("w")).collect()
+    for r in rows:
+        assert (r["n"], r["c"], r["w"]) == (chunking._normal(r["t"]), chunking.clean_page(r["t"]), len(chunking._WORD.findall(r["t"]))), repr(r["t"])
+    assert chunking.sentences("One. ﻿") == [(0, 4)] and chunking.by_length("﻿ ab cd", 0, 7, 3) == [(2, 4), (5, 7)]
+
+
+def test_only_bounded_sides_are_broadcast(spark):
+    rows = spark.range(50).withColumnRenamed("id", "chunk_id")
+    hinted = lambda x: "strategy=broadcast" in x._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in x._jdf.queryExecution().logical().toString()
+    wide = rows.union(rows).repartition(3)
+    assert hinted(semantic.bounded(wide.limit(5))) and not hinted(semantic.bounded(wide, most=10))
