@@ -64,3 +64,28 @@ def test_empty_table(spark):
 def test_query_on_whole_table(spark, sf_dir):
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op.query(spark, sf_dir).collect()), key=repr) == brute(docs, 20)
+
+
+def test_levels_at_most_double():
+    assert op.levels(20) == [5, 10, 20] and op.levels(2) == [2] and op.levels(7) == [4, 7]
+    for window in range(1, 300):
+        lengths = op.levels(window)
+        assert lengths[-1] == window and lengths[0] <= op.FIRST_LEVEL
+        assert all(a < b <= 2 * a for a, b in zip(lengths, lengths[1:], strict=False))
+
+
+def test_near_copies_and_self_repeats_match_brute_force(spark):
+    """Long repeated stretches that start and end anywhere, within a document and across many, copies among them."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(400)}"
+    base = [word() for _ in range(400)]
+    docs = []
+    for i in range(40):
+        ws = list(base)
+        for _ in range(rng.randint(0, 6)):
+            ws[rng.randrange(len(ws))] = word()
+        if i % 3 == 0:
+            ws = ws[rng.randrange(50) :] + ws[: rng.randrange(200)]
+        docs.append((i, " ".join(ws)))
+    docs += [(100 + i, docs[i][1]) for i in range(10)]
+    assert run(spark, docs, 20) == brute(docs, 20)
