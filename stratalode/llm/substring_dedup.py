@@ -108,9 +108,9 @@ def substring_dedup(spark: SparkSession, documents: DataFrame, *, id_col: str =
     copies = keys.stored(spark, keys.copies(rows).filter("j != lead").select("j", F.lit(True).alias("copy")))
     gone = _level(rows.select("j", "text"), window, lengths[0])
     for at, length in enumerate(lengths[1:]):
-        # The first level is the large one: its shuffle ends with a written table.
+        # The first level is the large one: its shuffle ends with a written table. The others and the cut read one exchange of the texts, so all take its columns.
         marks = (gone if at else keys.stored(spark, gone)).join(copies.hint("shuffle_hash"), "j", "left_anti")
-        gone = _level(repeats.marked(rows, marks).select("j", "text", "marks"), window, length)
+        gone = _level(repeats.marked(rows, marks).select("j", "text", "marks", "id"), window, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
