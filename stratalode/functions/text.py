@@ -179,14 +179,14 @@ def timestamp_label(ms: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
-def byte_label(n: Column) -> Column:
-    kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    return (
-        F.when(n < kb, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < mb, F.format_string("%.1f KB", n / kb))
-        .when(n < gb, F.format_string("%.1f MB", n / mb))
-        .otherwise(F.format_string("%.1f GB", n / gb))
-    )
+def byte_label(n: Column, largest: str = "GB") -> Column:
+    """Bytes with one decimal in the unit below which they fall; from ``largest`` on, in that."""
+    units = ("KB", "MB", "GB")[: ("KB", "MB", "GB").index(largest) + 1]
+    label = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for i, unit in enumerate(units, 1):
+        shown = F.format_string(f"%.1f {unit}", n / 1024.0**i)
+        label = label.otherwise(shown) if unit == largest else label.when(n < 1024.0 ** (i + 1), shown)
+    return label
 
 
 def seek_suffix(ms: Column) -> Column:
