@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_OTHERS = "\\t\\n\\u000B\\f\\r\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACE = "[\\s\\u000B\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,8 +22,11 @@ def right_trimmed(c: Column) -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    """All runs of white space as one space, ends trimmed."""
-    return trimmed(F.regexp_replace(c, f"{SPACE}+", " "))
+    """All runs of white space as one space, ends trimmed.
+
+    Single spaces are left alone, and one range settles most characters: no more than a few places need the long class.
+    """
+    return F.trim(F.regexp_replace(c, f"(?=[^!-~])(?:[{_OTHERS}]{SPACE}*| {SPACE}+)", " "))
 
 
 def normalized(c: Column) -> Column:
@@ -30,16 +34,24 @@ def normalized(c: Column) -> Column:
     return trimmed(F.regexp_replace(c, "[ \\t]+", " "))
 
 
+def _clipped(c: Column, limit: int, mark: str) -> Column:
+    """Collapsed text of at most ``limit`` characters, with ``mark`` where it was cut.
+
+    The start of a text decides if it collapses to more than ``limit`` characters; otherwise the whole text is looked at.
+    """
+    start = collapsed(F.substring(c, 1, limit + limit // 4 + 16))
+    enough = bound(start, lambda x: F.when(F.char_length(x) > limit, x).otherwise(collapsed(c)))
+    return bound(enough, lambda x: F.when(F.char_length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, limit)), F.lit(mark))))
+
+
 def compact(c: Column, limit: int) -> Column:
     """Collapsed text of at most ``limit`` characters, with ``...`` where it was cut."""
-    flat = collapsed(c)
-    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(right_trimmed(F.substring(flat, 1, limit)), F.lit("...")))
+    return _clipped(c, limit, "...")
 
 
 def preview(c: Column, limit: int = 100) -> Column:
     """Like :func:`compact` with one ellipsis character."""
-    flat = collapsed(c)
-    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(right_trimmed(F.substring(flat, 1, limit)), F.lit("…")))
+    return _clipped(c, limit, "…")
 
 
 def clamped(c: Column, limit: int) -> Column:
@@ -262,14 +274,17 @@ def occurrences(text: Column, term: str) -> Column:
 
 def snippet(content: Column, terms: list[str], limit: int = 180) -> Column:
     """A window of the collapsed text that begins a third before the first term."""
-    flat = collapsed(content)
-    lower = F.lower(flat)
-    places = F.filter(F.array(*[F.locate(t, lower) for t in terms]), lambda p: p > 0)
-    start = F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(1)) - 1 - limit // 3)
-    end = F.least(F.char_length(flat), start + limit)
-    body = trimmed(flat.substr(start + 1, end - start))
-    shown = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.char_length(flat), "...").otherwise(""))
-    return F.when(flat == "", "Empty page").otherwise(shown)
+
+    def first(lower: Column) -> Column:
+        places = F.filter(F.array(*[F.locate(t, lower) for t in terms]), lambda p: p > 0)
+        return F.greatest(F.lit(0), F.coalesce(F.array_min(places), F.lit(1)) - 1 - limit // 3)
+
+    def window(flat: Column, start: Column) -> Column:
+        more = F.char_length(flat) > start + limit
+        return F.concat(F.when(start > 0, "...").otherwise(""), F.trim(flat.substr(start + 1, F.lit(limit))), F.when(more, "...").otherwise(""))
+
+    shown = lambda flat: bound(bound(F.lower(flat), first), lambda start: window(flat, start))
+    return bound(collapsed(content), lambda flat: F.when(flat == "", "Empty page").otherwise(shown(flat)))
 
 
 def command(c: Column) -> Column:
