@@ -41,10 +41,11 @@ def find_in_page(text: str, query: str, most: int = 500) -> list[tuple[int, int]
 def packed(rows: DataFrame, *, by: str, order: str, text: str = "content", prefix: Column | None = None, budget: int = 20_000, each: int = 1200) -> DataFrame:
     """Excerpts in order until a character budget is spent: each cut to ``each``, the last to what is left; blanks keep their number.
 
-    A row that is cut uses all that is left, so one running sum decides.
+    A row that is cut uses all that is left, so one running sum decides. Texts are cut before they are dealt out by group,
+    and columns that nobody asks for, like the whole text, stay behind.
     """
     w = Window.partitionBy(by).orderBy(order)
-    numbered = rows.withColumn("number", F.row_number().over(w)).withColumn("_text", T.compact(F.col(text), each)).filter("_text != ''")
+    numbered = rows.withColumn("_text", T.compact(F.col(text), each)).withColumn("number", F.row_number().over(w)).filter("_text != ''")
     head = F.lit("") if prefix is None else prefix
     sep = F.when(F.row_number().over(w) == 1, 0).otherwise(2)
     cost = numbered.withColumn("_prefix", head).withColumn("_over", F.char_length("_prefix") + sep)
